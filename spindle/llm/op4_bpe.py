@@ -63,12 +63,10 @@ def _float(field: int, value: float) -> bytes:
 
 def serialised_model(ranks: dict[bytes, int]) -> bytes:
     """A sentencepiece model whose piece ids are the ranks; the id after the last is unknown."""
-    to_char = byte_alphabet()
-    pieces = [""] * len(ranks)
-    for token, rank in ranks.items():
-        pieces[rank] = "".join(to_char[b] for b in token)
-    if "" in pieces:
+    if sorted(ranks.values()) != list(range(len(ranks))):
         raise ValueError("ranks have gaps")
+    to_char = byte_alphabet()
+    pieces = ["".join(to_char[b] for b in token) for token in sorted(ranks, key=ranks.get)]
     normal, unknown, bpe = 1, 2, 2
     out = [_bytes(1, _bytes(1, p.encode()) + _float(2, float(-rank)) + _number(3, normal)) for rank, p in enumerate(pieces)]
     out.append(_bytes(1, _bytes(1, b"<unk>") + _float(2, 0.0) + _number(3, unknown)))

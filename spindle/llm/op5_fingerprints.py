@@ -155,7 +155,8 @@ OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 def ranged(docs: DataFrame, ranges: int) -> DataFrame:
     """(doc_id, text, range, tail): sorted runs of neighbours; a run's last row is a tail, the next run's first."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    bounds = np.array(sorted(set(rows.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.25 / ranges))), dtype=np.float64)
+    cuts = rows.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
+    bounds = np.array(sorted(set(cuts)), dtype=np.float64)
 
     @F.pandas_udf("int")
     def range_of(ids: pd.Series) -> pd.Series:
