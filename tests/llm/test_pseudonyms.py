@@ -1,0 +1,117 @@
+import re
+from collections import Counter
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from spindle.llm import op2_pseudonyms as op
+from spindle.llm.queries import pseudonyms
+
+from .edges import documents, empty
+
+
+def new(spark, values, **more):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, text string")
+    return [r.text for r in sorted(op.replace_personal(df, **more).collect(), key=lambda r: r.row.i)]
+
+
+def luhn(s):
+    digits = [int(c) for c in s if c.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+
+FOUND = {
+    "4785380592391139": r"4785\d{12}",
+    "4785 3805 9239 1139": r"4785 \d{4} \d{4} \d{4}",
+    "378282246310005": r"3782\d{11}",
+    "233.233.171.252": r"\d{1,3}(\.\d{1,3}){3}",
+    "+1 (523) 555-1055": r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}",
+    "415-555-2671": r"[2-9]\d\d-[2-9]\d\d-\d{4}",
+    "1999-02-28": r"\d{4}-\d\d-\d\d",
+    "31.12.2020": r"\d\d\.\d\d\.\d{4}",
+    "123-45-6789": r"\d{3}-\d\d-\d{4}",
+    "DE89370400440532013000": r"DE\d{20}",
+    "ab.Cd9@mail5.example.com": r"[a-z]{2}\.[A-Z][a-z]\d@mail5\.example\.com",
+}
+LEFT_ALONE = ["4785380592391138", "999.1.1.1", "2020-13-01", "2023-02-29", "000-11-2222", "DE88370400440532013000", "1.2.3", "12345", "9807915762804490", "x4785380592391139", "1.2.3.4.5", "a @ b", "3.14", "2020"]
+
+
+@pytest.mark.parametrize("around", ["{}", "see {}, ok", "x\n{}\n", "{}!!", "{}%%%", "„{}“"])
+def test_formats_are_kept_and_values_change(spark, around):
+    values = list(FOUND)
+    out = new(spark, [around.format(v) for v in values])
+    for v, o in zip(values, out, strict=True):
+        start, end = around.split("{}")
+        inner = o[len(start) : len(o) - len(end)]
+        assert o == start + inner + end and re.fullmatch(FOUND[v], inner) and inner != v, (v, o)
+    cards = [o for v, o in zip(values, out, strict=True) if v[:2] in ("47", "37")]
+    assert len(cards) == 3 and all(luhn(c.replace("„", "")) for c in cards)
+
+
+def test_secrets(spark):
+    text = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and 24be64439e3e49cf46b2d7c90f3602a3d0b907ff'
+    out = new(spark, [text])[0]
+    assert re.fullmatch(r'token = "[0-9a-f]{40}" and 24be64439e3e49cf46b2d7c90f3602a3d0b907ff', out) and out != text
+
+
+def test_what_fails_validation_stays(spark):
+    assert new(spark, LEFT_ALONE) == LEFT_ALONE
+
+
+def test_equal_values_stay_linked_and_the_key_leads_back(spark):
+    texts = [f"a {v} b {v}" for v in FOUND] + LEFT_ALONE
+    out = new(spark, texts)
+    for t in out[: len(FOUND)]:
+        assert len(set(re.split(r"^a | b ", t)[1:])) == 1
+    assert new(spark, out, back=True) == texts
+    assert new(spark, texts, key="another") != out
+
+
+@pytest.mark.parametrize(("kind", "radices"), [("address", [4, 4]), ("date", [9, 7]), ("x", [5]), ("y", [3, 1, 4, 2])])
+def test_the_network_permutes_its_domain(spark, kind, radices):
+    sizes = F.array(*[F.lit(n) for n in radices])
+    total = 1
+    for n in radices:
+        total *= n
+    df = spark.range(total)
+    at, cells = 1, []
+    for n in radices:
+        cells.append(op.element(F.floor(F.col("id") / at) % n, n))
+        at *= n
+    df = df.select("id", op.feistel(F.array(*cells), F.lit(kind), "k").alias("e"), sizes.alias("s"))
+    images = {tuple(x.v for x in r.e) for r in df.collect()}
+    assert len(images) == total and all(0 <= v < n for i in images for v, n in zip(i, radices, strict=True))
+
+
+def test_dates_stay_within_the_calendar(spark):
+    days = [f"{date.fromordinal(date(1800, 1, 1).toordinal() + k).isoformat()}" for k in range(0, 146_097, 997)]
+    out = new(spark, days)
+    assert len(set(out)) == len(days) and all(1800 <= date.fromisoformat(d).year < 2200 for d in out)
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_edges(spark, extra):
+    docs = documents(spark, extra=extra)
+    rows = op.replace_personal(docs).collect()
+    assert Counter((r.row.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in docs.collect())
+    assert op.replace_personal(empty(spark)).collect() == []
+
+
+def test_whole_table(spark, small):
+    before = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    sure = re.compile(r"\+1 \([2-9]\d\d\) \d{3}-\d{4}|[\w.]+@mail\d+\.example\.com|(?<![\w.])4\d{15}(?!\w)|token = \"[0-9a-f]{40}\"")
+    got = pseudonyms(spark, small).collect()
+    assert len(got) == len(before)
+    for r in got:
+        planted = sure.findall(before[r.doc_id])
+        assert not any(p in r.text for p in planted)
+        if r.n_replaced == 0:
+            assert r.text == before[r.doc_id]
+        assert r.n_replaced >= len(planted)
+    assert sum(r.n_replaced > 0 for r in got) < 0.3 * len(got)
+
+
+def test_nothing_but_sql_operators(spark, small):
+    plan = pseudonyms(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
