@@ -1,9 +1,44 @@
-"""All queries of the reference's operators, and their SQL."""
+"""All queries of the reference's operators, and their SQL.
 
+A query is a function (spark, sf_dir) -> DataFrame registered under a name, with the DuckDB
+statement that gives the same rows, or None where SQL can't.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
+from importlib import import_module
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("corpus", "catalogue", "training", "metrics")
+
+
+class Book:
+    """Queries and statements of one module."""
+
+    def __init__(self) -> None:
+        self.queries: dict[str, Query] = {}
+        self.sql: dict[str, str] = {}
+
+    def query(self, sql: str | None) -> Callable[[Query], Query]:
+        def put(f: Query) -> Query:
+            self.queries[f.__name__] = f
+            if sql is not None:
+                self.sql[f.__name__] = sql
+            return f
+
+        return put
+
+
+def _books() -> list[Book]:
+    return [import_module(f"spindle.plans.{m}").book for m in MODULES]
+
+
+def queries() -> dict[str, Query]:
+    return {k: v for b in _books() for k, v in b.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for b in _books() for k, v in b.sql.items()}
