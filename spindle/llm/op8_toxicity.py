@@ -119,30 +119,29 @@ class Chain:
         return x[:, -len(CHAIN) :]
 
 
-def fit_chain(rows: list[tuple[int, int, list[int], list[int], list[str]]]) -> Chain:
-    """rows: (doc_id, toxic, slots, counts, seed categories present)."""
-    rows = sorted(rows)
-    y = np.array([r[1] for r in rows], dtype=float)
-    if not len(rows) or y.min() == y.max():
-        return Chain(constant=float(y[0]) if len(rows) else 0.0)
-    with_, without = Counter(), Counter()
-    for _, toxic, slots, _, _ in rows:
-        (with_ if toxic else without).update(slots)
+def fit_chain(docs: np.ndarray, y: np.ndarray, sizes: np.ndarray, slots: np.ndarray, counts: np.ndarray, seeds: list[list[str]]) -> Chain:
+    """One entry a row in docs (ids), y (toxic), sizes (how many slots) and seeds (categories
+    whose seed words it holds); slots and counts of all rows one after the other."""
+    if not len(docs) or y.min() == y.max():
+        return Chain(constant=float(y[0]) if len(docs) else 0.0)
+    y = y.astype(float)
+    row = np.repeat(np.arange(len(docs)), sizes)
+    with_, without = (np.bincount(slots[y[row] == k], minlength=SLOTS) for k in (1, 0))
     n1, n0 = y.sum(), len(y) - y.sum()
-    gain = {s: k * np.log((k + 0.5) / (n1 + 1) / ((without[s] + 0.5) / (n0 + 1))) for s, k in with_.items() if k >= 3}
-    chain = Chain(terms={s: i for i, (_, s) in enumerate(sorted(((-g, s) for s, g in gain.items() if g > 0))[:TERMS])})
-    x = np.zeros((len(rows), len(chain.terms)))
-    for i, (_, _, slots, counts, _) in enumerate(rows):
-        for s, k in zip(slots, counts, strict=True):
-            if s in chain.terms:
-                x[i, chain.terms[s]] = k
+    gain = np.where(with_ >= 3, with_ * np.log((with_ + 0.5) / (n1 + 1) / ((without + 0.5) / (n0 + 1))), 0)
+    best = np.lexsort((np.arange(SLOTS), -gain))[:TERMS]
+    chain = Chain(terms={int(s): i for i, s in enumerate(best[gain[best] > 0])})
+    at = np.full(SLOTS, -1)
+    at[list(chain.terms)] = list(chain.terms.values())
+    x, used = np.zeros((len(docs), len(chain.terms))), at[slots] >= 0
+    x[row[used], at[slots[used]]] = counts[used]
     x = np.log1p(x)
-    targets = {c: np.array([t and c in seeds for _, t, _, _, seeds in rows], dtype=float) for c in SEEDS}
-    targets |= {"coded": np.array([t and not seeds for _, t, _, _, seeds in rows], dtype=float), "toxic": y}
-    fold = np.array([zlib.crc32(f"fold {r[0]}".encode()) % FOLDS for r in rows])
+    targets = {c: np.array([t and c in own for t, own in zip(y, seeds, strict=True)], dtype=float) for c in SEEDS}
+    targets |= {"coded": np.array([t and not own for t, own in zip(y, seeds, strict=True)], dtype=float), "toxic": y}
+    fold = np.array([zlib.crc32(f"fold {d}".encode()) % FOLDS for d in docs.tolist()])
     seen = x
     for name in CHAIN:
-        out = np.zeros(len(rows))
+        out = np.zeros(len(docs))
         for k in range(FOLDS):
             test = fold == k
             if test.any():
@@ -174,8 +173,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc_id", "toxic", "slots", "counts", "seeds"])
 
     found = texts.mapInArrow(run, "doc_id long, toxic int, slots array<int>, counts array<int>, seeds array<string>")
-    rows = found.dropDuplicates(["doc_id"]).toArrow()
-    return fit_chain(list(zip(*(rows[c].to_pylist() for c in rows.column_names), strict=True)))
+    rows = found.dropDuplicates(["doc_id"]).toArrow().combine_chunks().sort_by("doc_id")
+    doc, toxic = (rows[c].to_numpy() for c in ("doc_id", "toxic"))
+    lists = pa.concat_arrays(rows["slots"].chunks) if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    times = pa.concat_arrays(rows["counts"].chunks) if rows.num_rows else lists
+    return fit_chain(doc, toxic, lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(), times.flatten().to_numpy(), rows["seeds"].to_pylist())
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
