@@ -48,7 +48,7 @@ def text_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(name, size) of files, their content unread."""
+    """(name, size) of files, their content unread. Spark's scan passes over files without bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return files.select(T.basename(F.col("path")).alias("name"), F.col("length").alias("size"))
 
@@ -74,7 +74,10 @@ def manifest_faults(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_shards(spark: SparkSession, path: str, dtype: str = "uint16", max_tokens: int | None = None) -> DataFrame:
-    """(shard, ids, aligned) of binary shards; with max_tokens the first ids only, null where there are fewer."""
+    """(shard, ids, aligned) of binary shards; with max_tokens the first ids only, null where there are fewer.
+
+    Spark's scan passes over files without bytes, so an empty shard has no row.
+    """
     width = DTYPES[dtype]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +208,7 @@ def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:
 
 def write_text_files(files: DataFrame, path: str, keys: list[str]) -> None:
     """Packed content, a folder a key; folders that exist are left alone."""
-    files.select(*keys, F.col("content").alias("value")).write.mode("ignore").partitionBy(*keys).option("lineSep", "").text(path)
+    files.select(*keys, F.col("content").alias("value")).write.mode("ignore").partitionBy(*keys).text(path)
 
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
