@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line; a long line counts in blocks of ``BLOCK`` words. Its digest (with how many
+A paragraph is a line; a long line counts in blocks of ``BLOCK`` characters. Its digest (with how many
 equal ones came before, so that repeats are told apart) goes into three cells of the sketch,
 each a count, a sum of digests and a sum of check values. Sketches of two versions subtract cell
 by cell; cells with a count of one are peeled off, which uncovers more, until all differing
@@ -30,28 +30,28 @@ from pyspark.sql import functions as F
 
 from .shared import shuffle_width, text_of
 
-#: Cells of the stored sketch (a multiple of three), words in a block of a long line, growth on failure.
-CELLS, BLOCK, LONG_LINE, GROWTH = 18, 16, 160, 4
+#: Cells of the stored sketch (a multiple of three) and characters in a block of a long line.
+CELLS, BLOCK = 18, 120
+#: Cells for each digest of the two versions on the first retry; growth on later ones.
+ROOM, GROWTH = 1.6, 2
 U = np.uint64
+_SHIFTS, _LOW = np.array([[0], [21], [42]], dtype=U), U((1 << 21) - 1)
 
 
-def mix(x: np.ndarray, salt: int) -> np.ndarray:
-    """A 64-bit finaliser over an array."""
-    with np.errstate(over="ignore"):
-        x = x + U(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-        return x ^ (x >> U(31))
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser over an array; products wrap around."""
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
 
 
 def paragraphs(text: str) -> list[str]:
     out: list[str] = []
     for line in text.split("\n"):
-        if len(line) <= LONG_LINE:
+        if len(line) <= BLOCK:
             out.append(line)
         else:
-            words = line.split(" ")
-            out += (" ".join(words[i : i + BLOCK]) for i in range(0, len(words), BLOCK))
+            out += (line[i : i + BLOCK] for i in range(0, len(line), BLOCK))
     return out
 
 
@@ -82,41 +82,40 @@ class Sketch:
         out.add(keys, np.ones(len(keys), dtype=np.int64))
         return out
 
-    def places(self, keys: np.ndarray) -> np.ndarray:
+    def places(self, mixed: np.ndarray) -> np.ndarray:
+        """A cell in each third, by 21 bits of the mixed key."""
         third = len(self.counts) // 3
-        return np.concatenate([(mix(keys, j + 1) % U(third)).astype(np.int64) + j * third for j in range(3)])
+        return (((mixed >> _SHIFTS & _LOW) * U(third) >> U(21)).astype(np.int64) + np.arange(3)[:, None] * third).ravel()
 
     def add(self, keys: np.ndarray, times: np.ndarray) -> None:
         """Adds each key so many times; negative times take away."""
-        at = self.places(keys)
-        with np.errstate(over="ignore"):
-            signed = times.astype(U)
-            np.add.at(self.counts, at, np.tile(times, 3))
-            np.add.at(self.keys, at, np.tile(keys * signed, 3))
-            np.add.at(self.checks, at, np.tile(mix(keys, 9) * signed, 3))
+        mixed, signed = mix(keys), times.astype(U)
+        at = self.places(mixed)
+        np.add.at(self.counts, at, np.tile(times, 3))
+        np.add.at(self.keys, at, np.tile(keys * signed, 3))
+        np.add.at(self.checks, at, np.tile(mixed * signed, 3))
 
     def minus(self, other: Sketch) -> Sketch:
         out = Sketch(len(self.counts))
-        with np.errstate(over="ignore"):
-            out.counts, out.keys, out.checks = self.counts - other.counts, self.keys - other.keys, self.checks - other.checks
+        out.counts, out.keys, out.checks = self.counts - other.counts, self.keys - other.keys, self.checks - other.checks
         return out
 
     def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
         """(keys only in the left, keys only in the right) of a difference, or None if stuck."""
         left, right = [], []
-        with np.errstate(over="ignore"):
-            while self.counts.any() or self.keys.any() or self.checks.any():
-                one = np.flatnonzero(np.abs(self.counts) == 1)
-                sign = self.counts[one]
-                keys = self.keys[one] * sign.astype(U)
-                pure = mix(keys, 9) * sign.astype(U) == self.checks[one]
-                keys, first = np.unique(keys[pure], return_index=True)
-                if not len(keys):
-                    return None
-                sign = sign[pure][first]
-                left.append(keys[sign > 0])
-                right.append(keys[sign < 0])
-                self.add(keys, -sign)
+        while self.counts.any() or self.keys.any() or self.checks.any():
+            one = np.flatnonzero(np.abs(self.counts) == 1)
+            sign = self.counts[one]
+            times = sign.astype(U)
+            keys = self.keys[one] * times
+            pure = mix(keys) * times == self.checks[one]
+            keys, first = np.unique(keys[pure], return_index=True)
+            if not len(keys):
+                return None
+            sign = sign[pure][first]
+            left.append(keys[sign > 0])
+            right.append(keys[sign < 0])
+            self.add(keys, -sign)
         none = np.zeros(0, dtype=U)
         return np.concatenate([none, *left]), np.concatenate([none, *right])
 
@@ -127,13 +126,12 @@ class Sketch:
 
 def difference(a: np.ndarray, b: np.ndarray, own: tuple[Sketch, Sketch] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Digests only in a and only in b, by subtracting sketches and peeling, larger until it succeeds."""
-    cells = CELLS
-    if own and abs(len(a) - len(b)) * 1.3 <= cells and (found := own[0].minus(own[1]).peel()):
+    if own and abs(len(a) - len(b)) <= CELLS and (found := own[0].minus(own[1]).peel()):
         return found
-    while True:
-        cells *= GROWTH
-        if cells >= 1.3 * abs(len(a) - len(b)) and (found := Sketch.of(a, cells).minus(Sketch.of(b, cells)).peel()):
-            return found
+    third = int(ROOM * (len(a) + len(b)) / 3) + 4
+    while (found := Sketch.of(a, 3 * third).minus(Sketch.of(b, 3 * third)).peel()) is None:
+        third *= GROWTH
+    return found
 
 
 def likeness(a: np.ndarray, b: np.ndarray, own: tuple[Sketch, Sketch] | None = None) -> float:
@@ -187,8 +185,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         before = None  # (doc_id, text, range, digests, sketch) of the row that waits for its next
         for batch in batches:
             out = []
-            for k in range(batch.num_rows):
-                doc, text, place, tail = (batch.column(c)[k].as_py() for c in range(4))
+            docs_, places, tails = (batch.column(c).to_pylist() for c in (0, 2, 3))
+            for doc, text, place, tail in zip(docs_, batch.column(1), places, tails, strict=True):
+                text = text.as_py()
                 own = digests(text)
                 sketch = Sketch.of(own)
                 if before and before[2] == place:
