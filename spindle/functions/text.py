@@ -67,8 +67,8 @@ def parent_dir(path: Column) -> Column:
 
 
 def shard_index(name: Column) -> Column:
-    """the number of a shard's name, -1 where it has none."""
-    return F.coalesce(F.regexp_extract(name, r"^shard_(\d{1,18})\.bin$", 1).try_cast("long"), F.lit(-1).cast("long"))
+    """the number between a name's six first and four last characters, -1 where there is none."""
+    return F.coalesce(F.regexp_extract(name, r"(?s)^.{6}([+-]?\d{1,18}).{4}$", 1).try_cast("long"), F.lit(-1).cast("long"))
 
 
 def shard_name(index: Column) -> Column:
@@ -107,18 +107,18 @@ def seeded_order(seed: int | str, *key: str | Column) -> Column:
 
 def chat(prompt: Column, response: Column) -> Column:
     """a prompt and a response with speaker markers."""
-    return F.concat(F.lit("<|user|>\n"), prompt, F.lit("\n<|assistant|>\n"), response)
+    return F.concat(F.lit("<|im_start|>user\n"), prompt, F.lit("<|im_end|>\n<|im_start|>assistant\n"), response, F.lit("<|im_end|>"))
 
 
 def sft_prompt(instruction: Column, given: Column) -> Column:
     """The instruction, and the input where there is one."""
     body = F.when(given != "", F.concat(instruction, F.lit("\n\n"), given)).otherwise(instruction)
-    return F.concat(F.lit("<|user|>\n"), body, F.lit("\n<|assistant|>\n"))
+    return F.concat(F.lit("<|im_start|>user\n"), body, F.lit("\n<|im_end|>\n<|im_start|>assistant"))
 
 
 def sft_response(output: Column) -> Column:
     """The response with its end markers."""
-    return F.concat(output, F.lit("<|im_end|>" + EOT))
+    return F.concat(F.lit("\n"), output, F.lit("<|im_end|>" + EOT))
 
 
 # --- worked arithmetic texts (T18 to T21) ---------------------------------------------
@@ -180,7 +180,8 @@ def evaluated(problem: Column) -> Column:
 
 def fenced_json(text: Column) -> Column:
     """JSON without a code fence around it."""
-    return F.trim(F.regexp_replace(F.regexp_replace(py_strip(text), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+    whole = py_strip(text)
+    return F.when(whole.startswith("```"), F.regexp_replace(F.split(whole, "```")[1], "^json", "")).otherwise(whole)
 
 
 def judge_scores(text: Column, *criteria: str) -> Column:
@@ -206,7 +207,7 @@ def severity(ratio: Column) -> Column:
 
 def gap_label(gap: Column) -> Column:
     """How well groups of vectors separate."""
-    return F.when(gap > 0.15, "strong").when(gap > 0.05, "moderate").when(gap > 0, "weak").otherwise("none")
+    return F.when(gap > 0.15, "good").when(gap > 0.05, "emerging").when(gap > 0, "weak").otherwise("none")
 
 
 def learning_rate(step: Column, total: Column, peak: float, least: float, warmup: int) -> Column:

@@ -65,14 +65,15 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], position: str = "p
     return both.select(*keys, place.alias(position), F.coalesce("__n", "__o").alias("v")).select(*keys, position, "v.*")
 
 
-def merge_plan(shards: DataFrame, target: int, width: int = WIDTH, first_index: int = 0) -> DataFrame:
+def merge_plan(shards: DataFrame, target: int, width: int = WIDTH, first_index: int = 0, emerged: DataFrame | None = None) -> DataFrame:
     """M3: (merged_index, merged_shard, domain, bucket, place, shard columns): which shards make up which merged one.
 
-    Domains follow each other as they first appear (W15), shards within a domain by their place.
+    Domains follow each other as they first appear (W15), or as emerged (domain, __emerged) says;
+    shards within a domain go by their place.
     """
     sized = shards.withColumn("bytes", F.col("tokens") * width)
     cut = cut_with_reset(sized, "domain", "pos", "bytes", target)
-    emerged = cut.groupBy("domain").agg(F.min("pos").alias("__emerged"))
+    emerged = shards.groupBy("domain").agg(F.min("pos").alias("__emerged")) if emerged is None else emerged
     buckets = cut.groupBy("domain", "bucket").agg(F.min("pos").alias("__p")).join(emerged, "domain")
     # one row a merged shard: catalogue rows
     nr = F.row_number().over(Window.orderBy("__emerged", "bucket"))
@@ -88,7 +89,7 @@ def merged_entries(plan: DataFrame, width: int = WIDTH) -> DataFrame:
     grouped = plan.groupBy("merged_index", "merged_shard", "domain").agg(F.sum("tokens").alias("tokens"), F.sum("documents").alias("documents"), parts.alias("p"))
     return grouped.select(
         F.col("merged_shard").alias("shard"), T.merged_source(F.col("p")[0]["source"], F.col("merged_index")).alias("source"), "domain", "tokens", "documents",
-        F.round(F.col("tokens") * width / 1e6, 2).alias("shard_mb"), F.transform("p", lambda x: F.struct(x["shard"].alias("shard"), x["source"].alias("source"), x["tokens"].alias("tokens"))).alias("merged_from"),
+        F.round(F.col("tokens") * width / (1024 * 1024), 2).alias("shard_mb"), F.transform("p", lambda x: F.struct(x["shard"].alias("shard"), x["source"].alias("source"), x["tokens"].alias("tokens"))).alias("merged_from"),
     )
 
 
@@ -123,21 +124,16 @@ def incremental_plan(merged: DataFrame, shards: DataFrame, target: int, width: i
 
     Raises ValueError when the catalogue diverges. Shards of a domain come by their index.
     """
+    merged = merged.persist()  # a manifest: a row a merged shard
     problems = divergences(merged, shards).limit(5).collect()
     if problems:
         raise ValueError("cannot extend: " + "; ".join(f"{p.problem} {p.merged_shard or ''} {p.shard or ''}" for p in problems))
     consumed = merged.select(F.explode("merged_from").alias("r")).select(F.col("r.shard").alias("shard"))
     left = absent(shards, consumed, "shard")
     last = merged.agg(F.max(T.shard_index(F.col("shard"))).alias("m")).first().m
-    index = T.shard_index(F.col("shard"))
-    emerged = left.groupBy("domain").agg(F.min("pos").alias("__first"))
-    # within a domain the shard's index is the order; between domains the manifest's
-    placed = left.join(emerged, "domain").withColumn("__manifest", F.col("pos")).withColumn("pos", F.col("__first") * 0 + index)
-    plan = merge_plan(placed.drop("__first", "__manifest"), target, width)
-    order = plan.select("domain", "bucket").distinct().join(emerged, "domain")
-    nr = F.row_number().over(Window.orderBy("__first", "bucket")) + F.lit(-1 if last is None else int(last))
-    named = order.select("domain", "bucket", nr.cast("long").alias("merged_index"))
-    return plan.drop("merged_index", "merged_shard").join(named, ["domain", "bucket"]).withColumn("merged_shard", T.shard_name(F.col("merged_index")))
+    emerged = left.groupBy("domain").agg(F.min("pos").alias("__emerged"))  # as the manifest names them
+    placed = left.withColumn("pos", T.shard_index(F.col("shard")))  # within a domain by index
+    return merge_plan(placed, target, width, 0 if last is None else int(last) + 1, emerged)
 
 
 def fingerprint(shards: DataFrame, target: int) -> DataFrame:
@@ -188,6 +184,7 @@ def provenance(merged: DataFrame, selected: DataFrame, pinned: DataFrame, mix: D
     domains: (domain, passes, tokens) of the selection. A shard without parts stands for itself.
     """
     own = F.array(F.struct("shard", "source", "tokens"))
+    merged = merged.withColumn("domain", F.coalesce(F.nullif("domain", F.lit("")), T.domain_of_path(F.col("source"))))
     parts = merged.withColumn("r", F.explode(F.when(F.coalesce(F.size("merged_from"), F.lit(0)) > 0, F.col("merged_from")).otherwise(own)))
     rows = parts.select(
         F.col("r.source").alias("source_txt"), T.basename(F.col("r.source")).alias("source_file"), T.domain_of_path(F.col("r.source"), F.col("domain")).alias("source_domain"), F.col("r.tokens").alias("source_tokens"), F.col("r.shard").alias("source_shard"),
@@ -201,22 +198,27 @@ def provenance(merged: DataFrame, selected: DataFrame, pinned: DataFrame, mix: D
 
 
 def domain_summary(rows: DataFrame) -> DataFrame:
-    """A3: for each source domain its rows, tokens and three counts of different merged shards."""
+    """For each source domain its rows, tokens and three counts of different merged shards."""
     when = lambda c: F.when(F.col(c) == "yes", F.col("merged_shard"))
-    return rows.groupBy("source_domain").agg(
-        F.count(F.lit(1)).alias("sources"), F.sum("source_tokens").alias("tokens"), F.count_distinct("merged_shard").alias("merged_shards"), F.count_distinct(when("selected_for_training")).alias("selected_shards"), F.count_distinct(when("eval_heldout")).alias("eval_shards")
-    )
+    out = rows.groupBy(F.col("source_domain").alias("domain")).agg(
+        F.count(F.lit(1)).alias("txt_files"), F.sum("source_tokens").alias("source_tokens"), F.count_distinct("merged_shard").alias("merged_shards"),
+        F.count_distinct(when("selected_for_training")).alias("selected_merged_shards"), F.count_distinct(when("eval_heldout")).alias("eval_merged_shards"),
+    )
+    return out.orderBy(F.col("source_tokens").desc(), "domain")
 
 
 def totals(rows: DataFrame) -> DataFrame:
     """A4"""
     when = lambda c: F.when(F.col(c) == "yes", F.col("merged_shard"))
-    return rows.agg(F.count(F.lit(1)).alias("sources"), F.sum("source_tokens").alias("tokens"), F.count_distinct("merged_shard").alias("merged_shards"), F.count_distinct(when("selected_for_training")).alias("selected_shards"), F.count_distinct(when("eval_heldout")).alias("eval_shards"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("txt_files"), F.sum("source_tokens").alias("source_tokens"), F.count_distinct("merged_shard").alias("merged_shards"),
+        F.count_distinct(when("selected_for_training")).alias("selected_merged_shards"), F.count_distinct(when("eval_heldout")).alias("eval_merged_shards"),
+    )
 
 
 def siblings(rows: DataFrame, query: str) -> DataFrame:
     """All rows whose merged shard holds a row that matches the query."""
-    matched = rows.where(T.contains_any(query, "source_txt", "source_file", "source_shard", "merged_shard")).select("merged_shard").distinct()
+    matched = rows.where(T.contains_any(query, "source_txt", "source_file", "source_domain", "merged_shard")).select("merged_shard").distinct()
     return rows.join(matched, "merged_shard", "left_semi")
 
 

@@ -238,4 +238,4 @@ def selection_summary(selected: DataFrame, available: DataFrame, source: str = "
     have = available.groupBy(source).agg(F.count(F.lit(1)).alias("available_shards"), F.sum("tokens").alias("available_tokens"))
     took = selected.groupBy(source).agg(F.count(F.lit(1)).alias("passes"), F.sum("tokens").alias("tokens"), F.count_distinct("shard").alias("unique_shards"))
     both = took.join(have, source)
-    return both.withColumn("percent", F.round(100 * F.try_divide("unique_shards", "available_shards"), 2)).withColumn("epochs", F.round(F.try_divide("passes", "unique_shards"), 2))
+    return both.withColumn("percent", F.round(100 * F.try_divide("tokens", "available_tokens"), 2)).withColumn("epochs", F.round(F.try_divide("passes", "unique_shards"), 2))

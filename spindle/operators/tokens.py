@@ -20,7 +20,7 @@ PRE_TOKEN = r"(?U)\p{N}|'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: The same without look-ahead, for engines that lack it.
 PRE_TOKEN_PLAIN = r"\p{N}| ?\p{L}+| ?[^\s\p{L}\p{N}]+|\s+"
 #: Named special tokens in id order; reserved ones follow up to RESERVED; fixed values.
-SPECIALS = ("<|endoftext|>", "<|pad|>", "<|im_start|>", "<|im_end|>", "<|system|>", "<|user|>", "<|assistant|>", "<|unk|>", "<|sep|>")
+SPECIALS = ("<|endoftext|>", "<|pad|>", "<|im_start|>", "<|im_end|>", "<|fim_prefix|>", "<|fim_middle|>", "<|fim_suffix|>", "<|tool_call|>", "<|tool_result|>")
 RESERVED = 256
 #: Bounds of the gate: characters and bytes a token, share of the most frequent one; fixed values.
 GATE = {"chars_low": 3.0, "chars_high": 6.0, "bytes_low": 2.5, "top_high": 0.10}

@@ -143,7 +143,7 @@ def merge_plan_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.incremental_plan(merged, s, TARGET).select("merged_index", "merged_shard", "domain", "bucket", "shard", "tokens")
 
 
-MERGED = f"""(SELECT merged_shard AS shard, merged_index, domain, sum(tokens)::BIGINT AS tokens, sum(documents)::BIGINT AS documents, round(sum(tokens) * 2 / 1e6, 2) AS shard_mb, list(shard ORDER BY place) AS shards, list(source ORDER BY place) AS sources FROM {PLAN} GROUP BY ALL)"""
+MERGED = f"""(SELECT merged_shard AS shard, merged_index, domain, sum(tokens)::BIGINT AS tokens, sum(documents)::BIGINT AS documents, round(sum(tokens)::BIGINT * 2 / (1024 * 1024), 2) AS shard_mb, list(shard ORDER BY place) AS shards, list(source ORDER BY place) AS sources FROM {PLAN} GROUP BY ALL)"""
 
 
 @book.query(f"""SELECT shard, 'corpus/' || domain || printf('/_merged_%05d', merged_index) AS source, domain, tokens, documents, shard_mb, len(shards) AS parts, array_to_string(shards, ',') AS part_names FROM {MERGED.replace('GROUP BY ALL', 'GROUP BY merged_shard, merged_index, domain')}""")
@@ -220,7 +220,7 @@ def _provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROVENANCE = f"""(WITH p AS {PLAN}, m AS (SELECT merged_shard, merged_index, domain, sum(tokens)::BIGINT AS merged_tokens FROM p GROUP BY 1, 2, 3),
  sel AS (SELECT domain, count(*) AS passes, sum(merged_tokens)::BIGINT AS tokens FROM m WHERE merged_index % 3 <> 0 GROUP BY domain)
 SELECT p.source AS source_txt, string_split(p.source, '/')[-1] AS source_file, p.domain AS source_domain, p.tokens AS source_tokens, p.shard AS source_shard, p.merged_shard, p.domain AS merged_domain, m.merged_tokens,
- round(m.merged_tokens * 2 / 1e6, 2) AS merged_mb, CASE WHEN p.merged_index % 3 <> 0 THEN 'yes' ELSE 'no' END AS selected_for_training, CASE WHEN p.merged_index % 7 = 0 THEN 'yes' ELSE 'no' END AS eval_heldout,
+ round(m.merged_tokens * 2 / (1024 * 1024), 2) AS merged_mb, CASE WHEN p.merged_index % 3 <> 0 THEN 'yes' ELSE 'no' END AS selected_for_training, CASE WHEN p.merged_index % 7 = 0 THEN 'yes' ELSE 'no' END AS eval_heldout,
  x.weight AS training_weight, sel.passes AS selected_domain_passes, sel.tokens AS selected_domain_tokens
 FROM p JOIN m USING (merged_shard) LEFT JOIN {MIX_SQL} x ON x.domain = p.domain LEFT JOIN sel ON sel.domain = p.domain)"""
 
@@ -231,10 +231,11 @@ def provenance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _provenance(spark, sf_dir)
 
 
-SUMMARY = "count(*) AS sources, sum(source_tokens)::BIGINT AS tokens, count(DISTINCT merged_shard) AS merged_shards, count(DISTINCT merged_shard) FILTER (WHERE selected_for_training = 'yes') AS selected_shards, count(DISTINCT merged_shard) FILTER (WHERE eval_heldout = 'yes') AS eval_shards"
+SUMMARY = """count(*) AS txt_files, sum(source_tokens)::BIGINT AS source_tokens, count(DISTINCT merged_shard) AS merged_shards,
+ count(DISTINCT merged_shard) FILTER (WHERE selected_for_training = 'yes') AS selected_merged_shards, count(DISTINCT merged_shard) FILTER (WHERE eval_heldout = 'yes') AS eval_merged_shards"""
 
 
-@book.query(f"SELECT source_domain, {SUMMARY} FROM {PROVENANCE} GROUP BY source_domain")
+@book.query(f"SELECT source_domain AS domain, {SUMMARY} FROM {PROVENANCE} GROUP BY source_domain")
 def domain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3"""
     return catalog.domain_summary(_provenance(spark, sf_dir))

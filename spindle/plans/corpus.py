@@ -71,7 +71,7 @@ def chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query(f"""
-SELECT conv_id, turn, sha256('<|user|>' || chr(10) || p || chr(10) || '<|assistant|>' || chr(10) || r) AS text_sha256
+SELECT conv_id, turn, sha256('<|im_start|>user' || chr(10) || p || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || r || '<|im_end|>') AS text_sha256
 FROM (SELECT conv_id, turn, {stripped('prompt')} AS p, {stripped('response')} AS r FROM {PAIRS}) WHERE length(p) >= 100 AND length(r) >= 100""")
 def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F6, F7"""

@@ -212,7 +212,7 @@ def judged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH m AS (SELECT h, avg(x) AS m FROM (SELECT generate_subscripts(embedding, 1) AS h, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY h),
  c AS (SELECT vec_id, label, list(x - m ORDER BY h) AS v FROM (SELECT vec_id, label, generate_subscripts(embedding, 1) AS h, unnest(embedding)::DOUBLE AS x FROM embeddings) JOIN m USING (h) GROUP BY 1, 2),
  p AS (SELECT a.label = b.label AS same, list_cosine_similarity(a.v, b.v) AS c FROM c a JOIN c b ON a.vec_id <> b.vec_id)
-SELECT round(w, 5) AS within, round(o, 5) AS across, round(w - o, 5) AS gap, CASE WHEN w - o > 0.15 THEN 'strong' WHEN w - o > 0.05 THEN 'moderate' WHEN w - o > 0 THEN 'weak' ELSE 'none' END AS label
+SELECT round(w, 5) AS within, round(o, 5) AS across, round(w - o, 5) AS gap, CASE WHEN w - o > 0.15 THEN 'good' WHEN w - o > 0.05 THEN 'emerging' WHEN w - o > 0 THEN 'weak' ELSE 'none' END AS label
 FROM (SELECT avg(c) FILTER (WHERE same) AS w, avg(c) FILTER (WHERE NOT same) AS o FROM p)""")
 def embedding_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs' cosines by sums of unit vectors."""

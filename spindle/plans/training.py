@@ -43,7 +43,7 @@ SELECTED = f"""(SELECT * FROM (SELECT s.*, trunc(weight * {TOTAL}.0::DOUBLE)::BI
 
 @book.query(f"""
 SELECT domain, count(*) AS passes, sum(s.tokens)::BIGINT AS tokens, count(DISTINCT shard) AS unique_shards, any_value(a.n) AS available_shards, any_value(a.t) AS available_tokens,
- round(100 * count(DISTINCT shard) / any_value(a.n), 2) AS percent, round(count(*) / count(DISTINCT shard), 2) AS epochs
+ round(100 * sum(s.tokens)::BIGINT / any_value(a.t), 2) AS percent, round(count(*) / count(DISTINCT shard), 2) AS epochs
 FROM {SELECTED} s JOIN (SELECT domain, count(*) AS n, sum(tokens)::BIGINT AS t FROM {SHARDS} GROUP BY domain) a USING (domain) GROUP BY domain""")
 def mix_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1, J15, A5, A6, M10"""
@@ -231,7 +231,7 @@ def spot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.spot_check(tokens.encode(docs, vocabulary(), key="shard"), docs, vocabulary(), 100, 42).select("shard", "status")
 
 
-@book.query("SELECT i AS id, CASE WHEN i < 9 THEN (['<|endoftext|>', '<|pad|>', '<|im_start|>', '<|im_end|>', '<|system|>', '<|user|>', '<|assistant|>', '<|unk|>', '<|sep|>'])[i + 1] ELSE '<|reserved_' || (i - 9) || '|>' END AS token FROM range(256) t(i)")
+@book.query("SELECT i AS id, CASE WHEN i < 9 THEN (['<|endoftext|>', '<|pad|>', '<|im_start|>', '<|im_end|>', '<|fim_prefix|>', '<|fim_middle|>', '<|fim_suffix|>', '<|tool_call|>', '<|tool_result|>'])[i + 1] ELSE '<|reserved_' || (i - 9) || '|>' END AS token FROM range(256) t(i)")
 def special_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1"""
     return tokens.special_tokens(spark)
@@ -246,7 +246,7 @@ SFT_RAW = f"(SELECT conv_id * 1000 + turn AS pos, {stripped('prompt')} AS instru
 SFT = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instruction, input, output ORDER BY pos) AS r FROM {SFT_RAW} WHERE instruction <> '' AND output <> '' AND length(instruction) + length(input) + length(output) >= 10) WHERE r = 1)"
 
 
-@book.query(f"""SELECT pos, sha256('<|user|>' || chr(10) || instruction || CASE WHEN input <> '' THEN chr(10) || chr(10) || input ELSE '' END || chr(10) || '<|assistant|>' || chr(10)) AS prompt_sha256, sha256(output || '<|im_end|><|endoftext|>') AS response_sha256 FROM {SFT}""")
+@book.query(f"""SELECT pos, sha256('<|im_start|>user' || chr(10) || instruction || CASE WHEN input <> '' THEN chr(10) || chr(10) || input ELSE '' END || chr(10) || '<|im_end|>' || chr(10) || '<|im_start|>assistant') AS prompt_sha256, sha256(chr(10) || output || '<|im_end|><|endoftext|>') AS response_sha256 FROM {SFT}""")
 def sft_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F9, F10, U1, X9"""
     return sft.rendered(sft.prepared(_rows(spark, sf_dir))).select("pos", F.sha2("prompt", 256).alias("prompt_sha256"), F.sha2("response", 256).alias("response_sha256"))

@@ -154,3 +154,13 @@ def test_copy_plan(spark):
     a, b = spark.createDataFrame([("x", 1, "h"), ("y", 2, "h")], cols), spark.createDataFrame([("x", 1, "h"), ("y", 2, "other")], cols)
     assert [r.name for r in files.to_copy(a, b).collect()] == ["y"]
     assert catalog.absent(a, b.where("name = 'x'"), "name").count() == 1
+
+
+def test_configuration(spark, tmp_path):
+    from spindle.config import Config, read_config
+
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps({"_comment": "x", "vocab_size": 100, "eval": {"seed": 1, "thresholds": {"bytes_per_token_min": 2.0}}, "merge": {"enabled": False}}))
+    c = read_config(spark, str(path))
+    assert (c.vocab_size, c.eval.seed, c.eval.thresholds.bytes_per_token_min, c.eval.thresholds.chars_per_token_max, c.merge.enabled) == (100, 1, 2.0, 6.0, False)
+    assert Config().merge.target_bytes == 100 * 1024 * 1024

@@ -378,7 +378,7 @@ def test_logits(spark):
 def test_gap_of_separate_groups(spark):
     df = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "a", [2.0, 0.0]), (2, "b", [0.0, 1.0]), (3, "b", [0.0, 5.0])], "i int, l string, v array<double>")
     r = metrics.group_gap(df, "l", "v").first()
-    assert (r.within, r.across, r.label) == (pytest.approx(1), pytest.approx(0), "strong")
+    assert (r.within, r.across, r.label) == (pytest.approx(1), pytest.approx(0), "good")
 
 
 def test_cleaned_weight_names(spark):
