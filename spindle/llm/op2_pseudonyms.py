@@ -38,7 +38,7 @@ FORMATS = {
     "date": START + r"(?<![0-9][-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})" + END + r"(?![-/.][0-9])",
     "social": START + r"(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}" + END + r"(?!-[0-9])",
     "phone": r"(?<![\p{L}\p{N}_+-])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}" + END + r"|(?<![\p{L}\p{N}_+-])\+1[2-9][0-9]{2}[2-9][0-9]{6}" + END + r"|(?<![\p{L}\p{N}_+-])\+(?!1)[1-9][0-9]{1,2}(?:[ .-]?\(?[0-9]{2,5}\)?){2,5}" + END,
-    "card": START + r"(?<![0-9][ -])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + END + r"(?![ -][0-9])",
+    "card": START + r"(?:[0-9]{13,19}|(?<![0-9][ -])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![ -][0-9]))" + END,
 }
 PATTERN = "|".join(FORMATS.values())
 #: A text without any of these has no match; the long pattern is not tried on it.

@@ -49,6 +49,12 @@ def test_formats_are_kept_and_values_change(spark, around):
     assert len(cards) == 3 and all(luhn(c.replace("„", "")) for c in cards)
 
 
+def test_neighbouring_numbers(spark):
+    out = new(spark, ["x 4495589438270767 42.73.240.87 y", "+1 (605) 555-9305 4078918989542222", "38.253.197.126 4880761348116108, 7 4078918989542222 8"])
+    for planted in ("4495589438270767", "42.73.240.87", "555-9305", "4078918989542222", "4880761348116108", "38.253.197.126"):
+        assert not any(planted in o for o in out), (planted, out)
+
+
 def test_secrets(spark):
     text = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and 24be64439e3e49cf46b2d7c90f3602a3d0b907ff'
     out = new(spark, [text])[0]
