@@ -6,7 +6,8 @@ Vocabularies come as data: (token bytes, rank) tables or rank files. None is lea
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -66,6 +67,20 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+@lru_cache(maxsize=4)
+def encoder(vocabulary: str) -> Callable[[str], list[int]]:
+    """Text to ranks; by a library of compiled merges where it is installed, else by merge()."""
+    ranks, pattern = rank_file(vocabulary), PRE_TOKEN.removeprefix("(?U)")
+    try:
+        import tiktoken
+    except ImportError:
+        import regex
+
+        pieces, own = regex.compile(pattern), lru_cache(maxsize=300_000)(lambda p: merge(p.encode(), ranks))
+        return lambda text: [r for p in pieces.findall(text) for r in own(p)]
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def encode(docs: DataFrame, vocabulary: str, shift: int = RESERVED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids): special tokens in the text are atomic, the end id follows each document.
 
@@ -73,31 +88,15 @@ def encode(docs: DataFrame, vocabulary: str, shift: int = RESERVED, key: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        ranks = rank_file(vocabulary)
-        cut = regex.compile("(" + "|".join(map(regex.escape, SPECIALS)) + ")")
-        pieces = regex.compile(PRE_TOKEN.removeprefix("(?U)"))
+        cut = re.compile("(" + "|".join(map(re.escape, SPECIALS)) + ")")
         special = {s: [i] for i, s in enumerate(SPECIALS)}
-        memory: dict[str, list[int]] = {}
-
-        def ids_of(piece: str) -> list[int]:
-            if piece not in memory:
-                if len(memory) > 300_000:
-                    memory.clear()
-                memory[piece] = [r + shift for r in merge(piece.encode(), ranks)]
-            return memory[piece]
-
+        plain = encoder(vocabulary)
         for batch in batches:
             out = []
             for t in batch["text"]:
                 ids: list[int] = []
                 for part in cut.split(t.as_py() or ""):
-                    if part in special:
-                        ids += special[part]
-                    else:
-                        for p in pieces.findall(part):
-                            ids += ids_of(p)
+                    ids += special[part] if part in special else [r + shift for r in plain(part)]
                 out.append([*ids, 0])
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(out, pa.list_(pa.int32()))], [key, "ids"])
 

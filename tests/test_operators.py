@@ -287,8 +287,12 @@ def test_encoding_matches_the_rank_library(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(40)
     library = tiktoken.Encoding("own", pat_str=tokens.PRE_TOKEN.removeprefix("(?U)"), mergeable_ranks=tokens.rank_file(vocabulary()), special_tokens={})
     got = {r.doc_id: r.ids for r in tokens.encode(docs, vocabulary()).collect()}
+    import regex
+
+    pieces, ranks = regex.compile(tokens.PRE_TOKEN.removeprefix("(?U)")), tokens.rank_file(vocabulary())
     for r in docs.collect():
         assert got[r.doc_id] == [i + 256 for i in library.encode_ordinary(r.text)] + [0]
+        assert got[r.doc_id][:-1] == [i + 256 for p in pieces.findall(r.text) for i in tokens.merge(p.encode(), ranks)]
 
 
 def test_pre_tokens_lose_nothing(spark):
