@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import UPPER, materialised, slices, text_of
+from .shared import UPPER, materialised, modest_batches, slices, text_of
 
 SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
 #: Most fingerprints in a tree; larger shards are searched block by block.
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id",
             values = np.array([fingerprint(t.as_py(), width) for t in batch[1]], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(values)], ["doc_id", "fp"])
 
+    modest_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 

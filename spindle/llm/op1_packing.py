@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialised, shuffle_width, slices, text_of
+from .shared import materialised, modest_batches, shuffle_width, slices, text_of
 
 CAPACITY, END_ID = 1024, 2
 END_OF_TEXT = "<|endoftext|>"
@@ -98,6 +98,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", cap
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
+    modest_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, PIECES)
 
 

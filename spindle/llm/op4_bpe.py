@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .op1_packing import byte_alphabet
-from .shared import slices, text_of
+from .shared import modest_batches, slices, text_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Encoded pre-tokens that a worker remembers; the memory is emptied when it is full.
@@ -131,6 +131,7 @@ def encoded(docs: DataFrame, vocabulary: str = RANKS, id_col: str = "doc_id", te
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch[0], pa.array([own.encode(t.as_py()) for t in batch[1]], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
+    modest_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -159,4 +160,5 @@ def digests(docs: DataFrame, vocabulary: str = RANKS, id_col: str = "doc_id", te
                 bytes_.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(n, pa.int64()), pa.array(ids_, pa.string()), pa.array(bytes_, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    modest_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

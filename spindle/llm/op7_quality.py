@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, text_of
+from .shared import modest_batches, slices, text_of
 
 #: Shrinkage of a class covariance towards the pooled one, and of that towards its diagonal.
 TO_POOLED, TO_DIAGONAL, FLOOR = 0.2, 0.1, 1e-4
@@ -75,6 +75,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             x = np.array([statistics(t.as_py()) for t in batch[1]]).reshape(batch.num_rows, D)
             yield pa.RecordBatch.from_arrays([batch[0], *(pa.array(x[:, k]) for k in range(D))], ["doc_id", *(f"s{k}" for k in range(D))])
 
+    modest_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"s{k} double" for k in range(D)))
 
 

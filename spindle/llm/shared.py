@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/spindle/{what}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in this application's own part of it."""
+    return f"{shared_dir(spark)}/spindle-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
 def materialised(df: DataFrame, what: str) -> DataFrame:
@@ -45,7 +46,7 @@ def materialised(df: DataFrame, what: str) -> DataFrame:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Remove all scratch tables of this application; call it when results are stored."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spindle")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spindle-{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -63,6 +64,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Sets smaller Arrow batches where the session has Spark's own default.
+
+    Texts can be long; a batch lies in the memory of the JVM and of the worker, going in and
+    coming out.
+    """
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+    if spark.conf.get(name).rstrip("b") == str(default):
+        spark.conf.set(name, str(4 << 20))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the Python copies of long texts stay few at a time."""
     for batch in batches:
@@ -70,5 +82,10 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def texts_of(rows: pa.StructArray, column: str) -> pa.Array:
+    """A field of the input rows."""
+    return pc.struct_field(rows, [rows.type.get_field_index(column)])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
