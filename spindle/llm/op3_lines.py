@@ -25,10 +25,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import BLANKS, UPPER, scratch_path, slices, text_of
+from .shared import BLANKS, UPPER, materialised, modest_batches, scratch_path, slices, text_of, texts_of
 
 MIN_DOCS, BATCHES, FANOUT = 10, 4, 3
 HASHES = ["h1", "h2"]
@@ -104,26 +106,30 @@ class LineRuns:
 
 
 def drop_lines(docs: DataFrame, frequent: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, text, n_lines, n_dropped): the input row as a struct, and its text without frequent lines."""
+    """(row, n_lines, n_dropped): the input row as a struct, its text without frequent lines."""
     k1, k2 = F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k1"), F.isnull(id_col).alias("k2")
     hits = exploded(docs.select(k1, k2, text_of(text_col).alias("text")), "k1", "k2").join(frequent, HASHES, "left_semi")
     hits = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct(*HASHES)).alias("drop"))
-    rows = docs.select(F.struct("*").alias("row"), text_of(text_col).alias("text"), k1, k2).join(hits, ["k1", "k2"], "left")
-    inner = rows.select("row", "text", "drop")
+    inner = docs.select(F.struct("*").alias("row"), k1, k2).join(hits, ["k1", "k2"], "left").select("row", "drop")
+    modest_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts, lines, dropped = [], [], []
-            for text, drop in zip(batch.column("text"), batch.column("drop"), strict=True):
+            row = batch.column("row")
+            for text, drop in zip(texts_of(row, text_col), batch.column("drop"), strict=True):
                 text, gone = text.as_py(), {(d["h1"], d["h2"]) for d in drop.as_py() or ()}
-                parts = text.split("\n")
+                parts = (text or "").split("\n")
                 kept = [p for p in parts if python_hashes(p.encode()) not in gone] if gone else parts
-                texts.append("\n".join(kept))
+                texts.append("\n".join(kept) if gone else text)
                 lines.append(len(parts))
                 dropped.append(len(parts) - len(kept))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["row", "text", "n_lines", "n_dropped"])
+            kind = [row.type.field(i) for i in range(row.type.num_fields)]
+            new = [pa.array(texts, f.type) if f.name == text_col else pc.struct_field(row, [i]) for i, f in enumerate(kind)]
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(new, fields=kind), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["row", "n_lines", "n_dropped"])
 
-    return inner.mapInArrow(cut, f"row {inner.schema['row'].dataType.simpleString()}, text string, n_lines long, n_dropped long")
+    out = StructType([StructField("row", inner.schema["row"].dataType), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
+    return inner.mapInArrow(cut, out)
 
 
 def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,7 +138,8 @@ def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCH
     dealt = docs.select(text_of(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)).alias("batch"))
     for k in range(batches):
         runs.add(dealt.where(F.col("batch") == k))
-    return drop_lines(docs, runs.frequent(), id_col, text_col)
+    # as a table: a join with it can be split where a line is hot, or Spark broadcasts it by its size
+    return drop_lines(docs, materialised(runs.frequent(), "frequent-lines"), id_col, text_col)
 
 
 def sha256(text: str | None) -> str:

@@ -22,7 +22,7 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op3_lines.deduplicated(read_table(spark, sf_dir, "documents"))
-    return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = op8_toxicity.score(docs, op8_toxicity.train(docs, read_table(spark, sf_dir, "labels")))
-    return scored.select("row.doc_id", *(f"p_{c}" for c in op8_toxicity.CHAIN), "predicted")
+    return scored.select("row.doc_id", *(f"p_{c}" for c in op8_toxicity.CHAIN[:-1]), F.col("p_toxic").alias("score"), "predicted")
 
 
 def licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def test_whole_table(spark, small):
 def test_edges(spark, extra, batches):
     docs = documents(spark, extra=extra)
     got = op.deduplicated(docs, min_docs=3, batches=batches, fanout=2).collect()
-    assert Counter((r["row"]["doc_id"], r["n_lines"], r["n_dropped"], op.sha256(r["text"])) for r in got) == Counter(by_hand([(r.doc_id, r.text) for r in docs.collect()], 3))
+    assert Counter((r["row"]["doc_id"], r["n_lines"], r["n_dropped"], op.sha256(r["row"]["text"])) for r in got) == Counter(by_hand([(r.doc_id, r.text) for r in docs.collect()], 3))
 
 
 def test_empty(spark):
