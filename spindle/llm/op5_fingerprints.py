@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffle_width, text_of
+from .shared import modest_batches, shuffle_width, text_of
 
 #: Cells of the stored sketch (a multiple of three) and characters in a block of a long line.
 CELLS, BLOCK = 18, 120
@@ -171,7 +171,8 @@ def ranged(docs: DataFrame, ranges: int) -> DataFrame:
     rows = rows.join(F.broadcast(edges), F.col("doc_id").eqNullSafe(F.col("e_doc")) & (F.col("tie") == F.col("e_tie")), "left")  # a row for each range
     places = F.filter(F.array(F.struct("range", F.lit(0).alias("tail")), F.struct(F.col("above").alias("range"), F.lit(1).alias("tail"))), lambda x: x["range"].isNotNull())
     spread = rows.select("doc_id", "text", "tie", F.explode(places).alias("p")).select("doc_id", "text", "tie", "p.range", "p.tail")
-    return spread.repartition(ranges, "range").sortWithinPartitions("range", "tail", F.col("doc_id").desc_nulls_last(), "tie").select("doc_id", "text", "range", "tail")
+    by_range = spread.repartitionById(len(bounds) + 2, F.col("range") + 1)  # a task for each range, one for rows without an id
+    return by_range.sortWithinPartitions("range", "tail", F.col("doc_id").desc_nulls_last(), "tie").select("doc_id", "text", "range", "tail")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
@@ -195,6 +196,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 before = None if tail else (doc, text, place, own, sketch)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
+    modest_batches(docs.sparkSession)
     return ranged(docs, ranges).mapInArrow(run, OUT)
 
 
