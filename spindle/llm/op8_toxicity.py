@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .shared import slices, text_of
+from .shared import materialised, modest_batches, slices, text_of, texts_of
 
 #: Most labelled rows that the chain is fitted on.
 SAMPLE = 8000
@@ -50,23 +51,10 @@ def term_slots(word: str) -> tuple[int, ...]:
     return tuple({zlib.crc32(t.encode()) % SLOTS for t in found})
 
 
-class Slots(dict):
-    """Memory of term_slots, emptied when full."""
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 200_000:
-            self.clear()
-        slots = self[word] = term_slots(word)
-        return slots
-
-
-_slots = Slots()
-
-
 def term_counts(text: str) -> Counter:
     counts: Counter = Counter()
     for word, k in Counter(_WORD.findall(text.lower())).items():
-        for slot in _slots[word]:
+        for slot in term_slots(word):
             counts[slot] += k
     return counts
 
@@ -81,6 +69,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 30
     w = np.zeros(x.shape[1])
     share = (y.sum() + 0.5) / (len(y) + 1)
     w[-1] = np.log(share / (1 - share))
+    if y.min() == y.max():  # nothing to tell apart
+        return w
     shrink = np.full(len(w), ridge)
     shrink[-1] = 1e-6
     for _ in range(steps):
@@ -102,12 +92,20 @@ class Chain:
     threshold: float = 0.5
     constant: float | None = None
 
-    def features(self, text: str) -> np.ndarray:
+    def places(self, word: str) -> tuple[int, ...]:
+        """Where a word and its beginnings stand among the terms."""
+        return tuple(self.terms[s] for s in term_slots(word) if s in self.terms)
+
+    def features(self, text: str, memory: dict[str, tuple[int, ...]]) -> np.ndarray:
+        """Counts of the terms; memory holds the places of words met before."""
         x = np.zeros(len(self.terms))
         for word, k in Counter(_WORD.findall(text.lower())).items():
-            for slot in _slots[word]:
-                if (at := self.terms.get(slot)) is not None:
-                    x[at] += k
+            if (at := memory.get(word)) is None:
+                if len(memory) > 400_000:
+                    memory.clear()
+                at = memory[word] = self.places(word)
+            for i in at:
+                x[i] += k
         return np.log1p(x)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -119,23 +117,12 @@ class Chain:
         return x[:, -len(CHAIN) :]
 
 
-def fit_chain(docs: np.ndarray, y: np.ndarray, sizes: np.ndarray, slots: np.ndarray, counts: np.ndarray, seeds: list[list[str]]) -> Chain:
-    """One entry a row in docs (ids), y (toxic), sizes (how many slots) and seeds (categories
-    whose seed words it holds); slots and counts of all rows one after the other."""
+def fit_chain(docs: np.ndarray, y: np.ndarray, counts: np.ndarray, seeds: list[list[str]], terms: dict[int, int]) -> Chain:
+    """A row in docs (ids), y (toxic), counts (of the terms) and seeds (categories whose seed
+    words it holds); terms: the place of each term's slot."""
     if not len(docs) or y.min() == y.max():
         return Chain(constant=float(y[0]) if len(docs) else 0.0)
-    y = y.astype(float)
-    row = np.repeat(np.arange(len(docs)), sizes)
-    with_, without = (np.bincount(slots[y[row] == k], minlength=SLOTS) for k in (1, 0))
-    n1, n0 = y.sum(), len(y) - y.sum()
-    gain = np.where(with_ >= 3, with_ * np.log((with_ + 0.5) / (n1 + 1) / ((without + 0.5) / (n0 + 1))), 0)
-    best = np.lexsort((np.arange(SLOTS), -gain))[:TERMS]
-    chain = Chain(terms={int(s): i for i, s in enumerate(best[gain[best] > 0])})
-    at = np.full(SLOTS, -1)
-    at[list(chain.terms)] = list(chain.terms.values())
-    x, used = np.zeros((len(docs), len(chain.terms))), at[slots] >= 0
-    x[row[used], at[slots[used]]] = counts[used]
-    x = np.log1p(x)
+    y, x, chain = y.astype(float), np.log1p(counts), Chain(terms=terms)
     targets = {c: np.array([t and c in own for t, own in zip(y, seeds, strict=True)], dtype=float) for c in SEEDS}
     targets |= {"coded": np.array([t and not own for t, own in zip(y, seeds, strict=True)], dtype=float), "toxic": y}
     fold = np.array([zlib.crc32(f"fold {d}".encode()) % FOLDS for d in docs.tolist()])
@@ -150,7 +137,7 @@ def fit_chain(docs: np.ndarray, y: np.ndarray, sizes: np.ndarray, slots: np.ndar
         chain.weights.append(logistic(seen, targets[name]))
         seen = np.hstack([seen, out[:, None]])
     cuts = np.arange(0.3, 0.71, 0.05)
-    f1 = [2 * ((out >= c) & (y == 1)).sum() / max(1, (out >= c).sum() + n1) for c in cuts]
+    f1 = [2 * ((out >= c) & (y == 1)).sum() / max(1, (out >= c).sum() + y.sum()) for c in cuts]
     chain.threshold = float(round(np.mean(cuts[np.array(f1) >= max(f1) - 1e-12]), 3))  # the middle of the best
     return chain
 
@@ -173,11 +160,29 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc_id", "toxic", "slots", "counts", "seeds"])
 
     found = texts.mapInArrow(run, "doc_id long, toxic int, slots array<int>, counts array<int>, seeds array<string>")
-    rows = found.dropDuplicates(["doc_id"]).toArrow().combine_chunks().sort_by("doc_id")
-    doc, toxic = (rows[c].to_numpy() for c in ("doc_id", "toxic"))
-    lists = pa.concat_arrays(rows["slots"].chunks) if rows.num_rows else pa.array([], pa.list_(pa.int32()))
-    times = pa.concat_arrays(rows["counts"].chunks) if rows.num_rows else lists
-    return fit_chain(doc, toxic, lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(), times.flatten().to_numpy(), rows["seeds"].to_pylist())
+    found = materialised(found.dropDuplicates(["doc_id"]), "toxicity-sample")
+    terms = {r.slot: i for i, r in enumerate(telling(found).collect())}
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = np.zeros((batch.num_rows, len(terms)), dtype=np.int32)
+            for i, (slots, counts) in enumerate(zip(batch["slots"].to_pylist(), batch["counts"].to_pylist(), strict=True)):
+                for s, k in zip(slots, counts, strict=True):
+                    if (at := terms.get(s)) is not None:
+                        x[i, at] = k
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(list(x), pa.list_(pa.int32())), batch["seeds"]], ["doc_id", "toxic", "counts", "seeds"])
+
+    rows = found.mapInArrow(dense, "doc_id long, toxic int, counts array<int>, seeds array<string>").toArrow().combine_chunks().sort_by("doc_id")
+    counts = np.array(rows["counts"].to_pylist(), dtype=float).reshape(rows.num_rows, len(terms))
+    return fit_chain(rows["doc_id"].to_numpy(), rows["toxic"].to_numpy(), counts, rows["seeds"].to_pylist(), terms)
+
+
+def telling(found: DataFrame) -> DataFrame:
+    """The slots most associated with the label: (slot, gain), best first, at most TERMS."""
+    sizes = found.agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
+    held = found.select("toxic", F.explode("slots").alias("slot")).groupBy("slot").agg(F.sum("toxic").alias("with"), F.sum(1 - F.col("toxic")).alias("without")).where("with >= 3")
+    gain = F.col("with") * F.log(((F.col("with") + 0.5) / (F.col("n1") + 1)) / ((F.col("without") + 0.5) / (F.col("n0") + 1)))
+    return held.crossJoin(F.broadcast(sizes)).select("slot", gain.alias("gain")).where("gain > 0").orderBy(F.col("gain").desc(), "slot").limit(TERMS)
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
@@ -185,10 +190,12 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     names = [f"p_{c}" for c in CHAIN]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory: dict[str, tuple[int, ...]] = {}
         for batch in slices(batches):
-            x = np.array([chain.features(t.as_py()) for t in batch["text"]]).reshape(batch.num_rows, -1)
+            x = np.array([chain.features(t.as_py() or "", memory) for t in texts_of(batch["row"], text_col)]).reshape(batch.num_rows, -1)
             p = chain.predict(x)
             yield pa.RecordBatch.from_arrays([batch["row"], *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array((p[:, -1] >= chain.threshold).astype(np.int32))], ["row", *names, "predicted"])
 
-    rows = docs.select(F.struct("*").alias("row"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {', '.join(n + ' double' for n in names)}, predicted int")
+    rows = docs.select(F.struct("*").alias("row"))
+    modest_batches(docs.sparkSession)
+    return rows.mapInArrow(run, StructType([rows.schema["row"], *(StructField(n, DoubleType()) for n in names), StructField("predicted", IntegerType())]))

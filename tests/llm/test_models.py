@@ -96,9 +96,11 @@ def test_later_links_use_earlier_probabilities():
         slots = [7] * bool(seed) + [8] * (k % 15 == 1) + [int(s) for s in rng.integers(100, 200, 5)]
         slots = sorted(set(slots))
         rows.append((k, toxic, slots, [1] * len(slots), seed))
-    doc, y, slots, counts, seeds = zip(*rows, strict=True)
-    sizes = np.array([len(v) for v in slots])
-    chain = op8_toxicity.fit_chain(np.array(doc), np.array(y), sizes, np.concatenate(slots), np.concatenate(counts), list(seeds))
+    terms = {s: i for i, s in enumerate(sorted({v for r in rows for v in r[2]}))}
+    counts = np.zeros((len(rows), len(terms)))
+    for i, r in enumerate(rows):
+        counts[i, [terms[s] for s in r[2]]] = 1
+    chain = op8_toxicity.fit_chain(np.arange(600), np.array([r[1] for r in rows]), counts, [r[4] for r in rows], terms)
     assert [len(w) for w in chain.weights] == [len(chain.terms) + k + 1 for k in range(len(op8_toxicity.CHAIN))]
     x = np.zeros((2, len(chain.terms)))
     x[1, chain.terms[7]] = np.log1p(1)

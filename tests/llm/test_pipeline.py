@@ -16,7 +16,7 @@ def test_against_a_plain_version(spark, small):
     docs, labels = (spark.read.parquet(f"{place}/{t}.parquet") for t in ("documents", "labels"))
     chain = op8_toxicity.train(docs, labels)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    rows = [(d, t) for d, t in rows if chain.predict(chain.features(t)[None])[0, -1] < chain.threshold]
+    rows = [(d, t) for d, t in rows if chain.predict(chain.features(t, {})[None])[0, -1] < chain.threshold]
     counts = Counter(k for _, t in rows for k in {key(x) for x in t.split("\n")} if k)
     rows = [(d, "\n".join(x for x in t.split("\n") if counts[key(x)] < 10)) for d, t in rows]
     groups = components_by_hand([(d, print_by_hand(t)) for d, t in rows])
