@@ -14,10 +14,10 @@ from spindle.llm import op1_packing, op2_pseudonyms, op3_lines, op8_toxicity, op
 from spindle.llm.shared import materialised, read_table
 
 
-def _with_text(found: DataFrame, docs: DataFrame, changed: str) -> DataFrame:
+def _with_text(found: DataFrame, docs: DataFrame, text: str, changed: str) -> DataFrame:
     """The columns of docs, with text and n_chars renewed in rows where a count says so."""
     new = F.col(changed) > 0
-    renewed = {"text": F.when(new, F.col("text")).otherwise(F.col("row.text")), "n_chars": F.when(new, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    renewed = {"text": F.when(new, F.col(text)).otherwise(F.col("row.text")), "n_chars": F.when(new, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}
     return found.select(*[renewed.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
 
 
@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text(op3_lines.deduplicated(docs), docs, "n_dropped")
+    return _with_text(op3_lines.deduplicated(docs), docs, "row.text", "n_dropped")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text(op2_pseudonyms.replace_personal(docs), docs, "n_replaced")
+    return _with_text(op2_pseudonyms.replace_personal(docs), docs, "text", "n_replaced")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
