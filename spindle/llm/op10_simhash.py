@@ -217,7 +217,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, root, component_id) of every row; root names the component."""
-    own = materialised(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    own = materialised(fingerprints(docs, width, id_col, text_col), "fingerprints", compact=True)
     distinct = materialised(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     tree = components(links(distinct.select("fp"), distinct.count(), radius))
     rooted = distinct.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")

@@ -238,7 +238,7 @@ def numbered(pieces: DataFrame) -> DataFrame:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces (columns of PIECES)."""
-    pieces = materialised(pieces, "pieces")
+    pieces = materialised(pieces, "pieces", compact=True)
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     table = ranges(plan(histogram, capacity))
 

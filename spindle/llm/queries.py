@@ -39,7 +39,7 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    statistics = materialised(op7_quality.with_statistics(docs), "statistics")
+    statistics = materialised(op7_quality.with_statistics(docs), "statistics", compact=True)
     model = op7_quality.train(statistics, labels.where(~op7_quality.held_out(F.col("doc_id"))))
     scored = op7_quality.score(statistics, model)
     return scored.select("doc_id", op7_quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -33,14 +33,15 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/spindle-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
-def materialised(df: DataFrame, what: str) -> DataFrame:
+def materialised(df: DataFrame, what: str, compact: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The lineage ends there: a lost executor costs the tasks that were running, not the
-    work before the table.
+    work before the table. compact: for rows of a few numbers that were made from long texts;
+    they are rebalanced, so that the table has files of a fair size and not one a scan task.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
+    (df.hint("rebalance") if compact else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
