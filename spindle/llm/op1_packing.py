@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .shared import materialised, modest_batches, shuffle_width, slices, text_of
 
 CAPACITY, END_ID = 1024, 2
+#: Extra worth of long lengths, and how fast a weight falls with coverage.
+LONG, DECAY = 2.0, 0.1
 END_OF_TEXT = "<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -131,28 +133,32 @@ def best_filling(prices: np.ndarray, capacity: int) -> Counter:
     return filling
 
 
-def fractional(demand: np.ndarray, capacity: int, step: float = 0.25, rounds: int = 1200) -> list[tuple[Counter, float]]:
+def fractional(demand: np.ndarray, capacity: int, step: float = 0.25, rounds: int = 600) -> list[tuple[Counter, float]]:
     """Multiplicative weights for the configuration LP: (filling, how often), fractional.
 
     A length's weight falls exponentially with the share of its demand that is covered;
     covered lengths leave. A round takes the best filling as often as covers ``step`` of
-    the demand of its scarcest length.
+    the demand of its scarcest length; after ``rounds`` rounds, all that is left of it. So a
+    round then settles a length, all demand is covered in the end, and there are at most
+    ``rounds + capacity`` fillings however many pieces there are.
     """
     lengths = np.flatnonzero(demand)
     covered, base = np.zeros(capacity + 1), np.arange(capacity + 1) / capacity
     found: list[tuple[Counter, float]] = []
-    for _ in range(rounds):
+    for nr in range(rounds + capacity + 1):
         prices = np.zeros(capacity + 1)
         left = lengths[covered[lengths] < 1 - 1e-9]
         if not len(left):
             break
-        # base prices are worth per token; weights push what lags behind, long lengths first
-        prices[left] = base[left] * (1 + 0.25 * base[left]) * np.exp(-0.5 * covered[left])
+        # a length's base price grows faster than its tokens, since long ones are hard to fit later
+        prices[left] = base[left] * (1 + LONG * base[left]) * np.exp(-DECAY * covered[left])
         filling = best_filling(prices, capacity)
-        often = min(demand[n] * min(step, 1 - covered[n]) / k for n, k in filling.items())
-        often = max(often, min(1.0, min(demand[n] * (1 - covered[n]) / k for n, k in filling.items())))
+        most = {n: demand[n] * (1 - covered[n]) / k for n, k in filling.items()}
+        often = min(most.values())
+        if nr < rounds:
+            often = min(often, max(1.0, min(demand[n] * step / k for n, k in filling.items())))
         for n, k in filling.items():
-            covered[n] += often * k / demand[n]
+            covered[n] = 1.0 if most[n] <= often * (1 + 1e-12) else covered[n] + often * k / demand[n]
         found.append((filling, often))
     return found
 
@@ -192,14 +198,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
         chosen[((capacity, 1),)] = int(left[capacity])
         left[capacity] = 0
     while left.sum() > 4 * capacity:
-        before = int(left.sum())
+        before = int(left.sum())  # after the first turn at most what rounding leaves of each filling
         for filling, often in sorted(fractional(left, capacity), key=lambda x: -x[1]):
             whole = min(int(often + 1e-9), *(int(left[n] // k) for n, k in filling.items()))
             if whole > 0:
                 chosen[tuple(sorted(filling.items()))] += whole
                 for n, k in filling.items():
                     left[n] -= whole * k
-        if left.sum() > 0.5 * before:
+        if left.sum() > 0.9 * before:
             break
     for filling in best_fit(left, capacity):
         chosen[tuple(sorted(filling.items()))] += 1

@@ -84,6 +84,17 @@ def test_plan_near_the_bound_on_many_lengths():
     assert sequences <= 1.002 * -(-int(lengths.sum()) // 1024)
 
 
+def test_what_best_fit_packs_does_not_grow_with_the_corpus(monkeypatch):
+    rng = np.random.default_rng(6)
+    lengths = Counter(np.clip(rng.lognormal(6, 1, 30_000).astype(int), 1, 1024).tolist())
+    rest, packed = [], op.best_fit
+    monkeypatch.setattr(op, "best_fit", lambda demand, capacity: rest.append(int(demand.sum())) or packed(demand, capacity))
+    for scale in (1, 10**6):
+        total = sum(n * k * scale for n, k in lengths.items())
+        assert sum(k for _, k in op.plan({n: k * scale for n, k in lengths.items()})) <= 1.002 * total / 1024
+    assert max(rest) < 5000
+
+
 def test_encoder_matches_the_library_on_odd_texts():
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     encode = op._encoder("byte_bpe_50k.json")
