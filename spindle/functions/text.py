@@ -214,3 +214,19 @@ def learning_rate(step: Column, total: Column, peak: float, least: float, warmup
     """Linear warm-up, then a cosine down to the floor."""
     share = F.least(F.lit(1.0), (step - warmup) / F.greatest(F.lit(1), total - warmup))
     return F.when(step < warmup, F.lit(peak) * step / warmup).otherwise(F.lit(least) + 0.5 * (1 + F.cos(F.lit(3.141592653589793) * share)) * (peak - least))
+
+
+def iso(ts: Column) -> Column:
+    """A timestamp as text."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def json_line(*columns: str) -> Column:
+    """Columns as a JSON object; characters beyond ASCII stay as they are."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def paired(a: Column, b: Column) -> Column:
+    """Two lists by position, as long as the shorter one."""
+    n = F.least(F.size(a), F.size(b))
+    return F.arrays_zip(F.slice(a, F.lit(1), n).alias("a"), F.slice(b, F.lit(1), n).alias("b"))

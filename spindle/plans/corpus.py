@@ -214,3 +214,19 @@ def judge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adapter_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1, F9"""
     return corpus.ADAPTERS["pairs"](corpus.turns_to_pairs(table(spark, sf_dir, "conversations"))).select("conv_id", "turn")
+
+
+@book.query("SELECT doc_id, to_json({'doc_id': doc_id, 'lang': lang, 'source': source})::VARCHAR AS line FROM documents")
+def json_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T23, K7"""
+    return table(spark, sf_dir, "documents").select("doc_id", T.json_line("doc_id", "lang", "source").alias("line"))
+
+
+@book.query("""
+WITH l AS (SELECT conv_id, coalesce(list(length(text) ORDER BY turn) FILTER (WHERE role = 'user'), []) AS u, coalesce(list(length(text) ORDER BY turn) FILTER (WHERE role = 'assistant'), []) AS a FROM conversations GROUP BY conv_id)
+SELECT conv_id, unnest(u[1:least(len(u), len(a))]) AS prompt_chars, unnest(a[1:least(len(u), len(a))]) AS output_chars FROM l""")
+def paired_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's prompts and outputs by position."""
+    sizes = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", F.length("text").alias("n"))))), lambda x: x["n"])
+    lists = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(sizes("user").alias("u"), sizes("assistant").alias("o"))
+    return lists.select("conv_id", F.explode(T.paired(F.col("u"), F.col("o"))).alias("p")).select("conv_id", F.col("p.a").alias("prompt_chars"), F.col("p.b").alias("output_chars"))

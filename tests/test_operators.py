@@ -389,3 +389,9 @@ def test_cleaned_weight_names(spark):
     stored = spark.createDataFrame([("_orig_mod.a", "2x2"), ("b", "3"), ("c", "1")], "name string, shape string")
     wanted = spark.createDataFrame([("a", "2x2"), ("b", "4")], "name string, shape string")
     assert values(metrics.matching_weights(stored, wanted), "name") == ["a"]
+
+
+def test_iso_and_json(spark):
+    df = spark.sql("SELECT timestamp'2024-02-03 04:05:06' AS t, 'ü\"x' AS s, CAST(NULL AS INT) AS n")
+    r = df.select(T.iso(F.col("t")).alias("t"), T.json_line("s", "n").alias("j")).first()
+    assert r.t == "2024-02-03T04:05:06" and r.j == '{"s":"ü\\"x","n":null}'
