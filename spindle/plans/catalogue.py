@@ -65,7 +65,7 @@ def manifest_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.issues(s, listing(s))
 
 
-@book.query(f'SELECT "check", item, detail, nr FROM (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY item) AS nr FROM {ISSUES}) WHERE nr <= 5')
+@book.query(f'SELECT "check", item, detail, nr FROM (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY item) AS nr FROM {ISSUES}) WHERE nr <= 5', longs=("nr",))
 def issue_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five of a class are the feature."""
     s = shards(spark, sf_dir)
@@ -122,7 +122,7 @@ PLAN = f"""(WITH RECURSIVE {cut_sql(ALL_ROWS)}
 SELECT nr AS merged_index, printf('shard_%05d.bin', nr) AS merged_shard, domain, bucket, row_number() OVER (PARTITION BY nr ORDER BY ord) - 1 AS place, pos, shard, source, tokens, documents FROM b JOIN k USING (domain, bucket))"""
 
 
-@book.query(f"SELECT merged_index, merged_shard, domain, bucket, place, shard, tokens FROM {PLAN}")
+@book.query(f"SELECT merged_index, merged_shard, domain, bucket, place, shard, tokens FROM {PLAN}", longs=("place",))
 def merge_plan_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3, W4, W15"""
     return catalog.merge_plan(shards(spark, sf_dir), TARGET).select("merged_index", "merged_shard", "domain", "bucket", "place", "shard", "tokens")
@@ -146,7 +146,7 @@ def merge_plan_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 MERGED = f"""(SELECT merged_shard AS shard, merged_index, domain, sum(tokens)::BIGINT AS tokens, sum(documents)::BIGINT AS documents, round(sum(tokens)::BIGINT * 2 / (1024 * 1024), 2) AS shard_mb, list(shard ORDER BY place) AS shards, list(source ORDER BY place) AS sources FROM {PLAN} GROUP BY ALL)"""
 
 
-@book.query(f"""SELECT shard, 'corpus/' || domain || printf('/_merged_%05d', merged_index) AS source, domain, tokens, documents, shard_mb, len(shards) AS parts, array_to_string(shards, ',') AS part_names FROM {MERGED.replace('GROUP BY ALL', 'GROUP BY merged_shard, merged_index, domain')}""")
+@book.query(f"""SELECT shard, 'corpus/' || domain || printf('/_merged_%05d', merged_index) AS source, domain, tokens, documents, shard_mb, len(shards) AS parts, array_to_string(shards, ',') AS part_names FROM {MERGED.replace('GROUP BY ALL', 'GROUP BY merged_shard, merged_index, domain')}""", longs=("parts",))
 def merged_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5, M6, F21"""
     m = catalog.merged_entries(catalog.merge_plan(shards(spark, sf_dir), TARGET))
@@ -191,13 +191,13 @@ def plan_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.plan_sizes(catalog.merge_plan(shards(spark, sf_dir), TARGET))
 
 
-@book.query(f"SELECT merged_shard, place, shard, (coalesce(sum(tokens) OVER (PARTITION BY merged_shard ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2)::BIGINT AS byte_offset FROM {PLAN}")
+@book.query(f"SELECT merged_shard, place, shard, (coalesce(sum(tokens) OVER (PARTITION BY merged_shard ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2)::BIGINT AS byte_offset FROM {PLAN}", longs=("place",))
 def shard_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W5"""
     return catalog.offsets(catalog.merge_plan(shards(spark, sf_dir), TARGET)).select("merged_shard", "place", "shard", "byte_offset")
 
 
-@book.query(f"SELECT merged_shard AS shard, domain, count(*) AS hits FROM {PLAN} WHERE contains(source, 'part_00001') GROUP BY 1, 2")
+@book.query(f"SELECT merged_shard AS shard, domain, count(*) AS hits FROM {PLAN} WHERE contains(source, 'part_00001') GROUP BY 1, 2", longs=("hits",))
 def forward_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F16, M15"""
     return catalog.holding(catalog.merged_entries(catalog.merge_plan(shards(spark, sf_dir), TARGET)), "part_00001")
@@ -263,7 +263,7 @@ def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH p AS {PLAN}, gone AS (SELECT * FROM p WHERE merged_index % 4 = 1),
  o AS (SELECT *, (coalesce(sum(tokens) OVER (PARTITION BY merged_shard ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2)::BIGINT AS byte_offset, tokens * 2 AS bytes FROM gone),
  t AS (SELECT o.*, CASE WHEN l.name IS NULL THEN 'absent' WHEN l.size <> bytes THEN 'wrong_size' ELSE 'found' END AS state FROM o LEFT JOIN {LISTING} l ON l.name = o.shard)
-SELECT merged_shard, place, shard, byte_offset, bytes, state, count(*) FILTER (WHERE state = 'found') OVER w = count(*) OVER w AS complete FROM t WINDOW w AS (PARTITION BY merged_shard)""")
+SELECT merged_shard, place, shard, byte_offset, bytes, state, count(*) FILTER (WHERE state = 'found') OVER w = count(*) OVER w AS complete FROM t WINDOW w AS (PARTITION BY merged_shard)""", longs=("place",))
 def repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth merged shard is lost; the archive lacks some parts."""
     s = shards(spark, sf_dir)

@@ -64,7 +64,7 @@ PAIRS = """(SELECT conv_id, turn, text AS prompt, response FROM (
  WHERE role = 'user' AND next_role = 'assistant')"""
 
 
-@book.query(f"SELECT conv_id, turn, length(prompt) AS prompt_chars, length(response) AS response_chars FROM {PAIRS}")
+@book.query(f"SELECT conv_id, turn, length(prompt) AS prompt_chars, length(response) AS response_chars FROM {PAIRS}", longs=("prompt_chars", "response_chars"))
 def chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = corpus.turns_to_pairs(table(spark, sf_dir, "conversations"))
     return pairs.select("conv_id", "turn", F.length("prompt").alias("prompt_chars"), F.length("response").alias("response_chars"))
@@ -113,15 +113,15 @@ def resume_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "source")
 
 
-@book.query("SELECT lang, count(*) AS documents, sum(n_chars) AS chars FROM documents WHERE lang IN ('en', 'de') GROUP BY lang")
+@book.query("SELECT lang, count(*) AS documents, sum(n_chars)::BIGINT AS chars FROM documents WHERE lang IN ('en', 'de') GROUP BY lang")
 def language_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan of some partitions."""
     return table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "de")).groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
 
 
 @book.query("""
-SELECT 'documents' AS origin, count(*) AS rows, sum(length(text)) AS chars FROM documents UNION ALL SELECT 'benchmark', count(*), sum(length(text)) FROM benchmark
-UNION ALL SELECT 'conversations', count(*), sum(length(text)) FROM conversations""")
+SELECT 'documents' AS origin, count(*) AS rows, sum(length(text))::BIGINT AS chars FROM documents UNION ALL SELECT 'benchmark', count(*), sum(length(text))::BIGINT FROM benchmark
+UNION ALL SELECT 'conversations', count(*), sum(length(text))::BIGINT FROM conversations""")
 def multi_source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3"""
     from ..sources.files import scan_all
@@ -132,7 +132,7 @@ def multi_source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @book.query(f"""
 SELECT doc_id, length(text) AS chars, strlen(text) AS bytes, length({stripped('text')}) AS stripped, substr(sha256(text), 1, 16) AS sha16,
- (length(text) - length(replace(text, 'the', ''))) // 3 AS n_the, len(string_split(text, 'the')) AS parts, printf('%04d', doc_id % 10000) AS padded FROM documents""")
+ (length(text) - length(replace(text, 'the', ''))) // 3 AS n_the, len(string_split(text, 'the')) AS parts, printf('%04d', doc_id % 10000) AS padded FROM documents""", longs=("chars", "bytes", "stripped", "parts"))
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 to T7"""
     t = F.col("text")
@@ -224,7 +224,7 @@ def json_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @book.query("""
 WITH l AS (SELECT conv_id, coalesce(list(length(text) ORDER BY turn) FILTER (WHERE role = 'user'), []) AS u, coalesce(list(length(text) ORDER BY turn) FILTER (WHERE role = 'assistant'), []) AS a FROM conversations GROUP BY conv_id)
-SELECT conv_id, unnest(u[1:least(len(u), len(a))]) AS prompt_chars, unnest(a[1:least(len(u), len(a))]) AS output_chars FROM l""")
+SELECT conv_id, unnest(u[1:least(len(u), len(a))]) AS prompt_chars, unnest(a[1:least(len(u), len(a))]) AS output_chars FROM l""", longs=("prompt_chars", "output_chars"))
 def paired_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation's prompts and outputs by position."""
     sizes = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", F.length("text").alias("n"))))), lambda x: x["n"])

@@ -83,13 +83,13 @@ def tensor_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.by_position(_long(spark, sf_dir)).select("t", F.round("ratio_global", 5).alias("ratio_global"), F.round("ratio_local", 5).alias("ratio_local"))
 
 
-@book.query(f"SELECT h, round(avg(x * x), 6) AS energy, round(avg(x * x) / (SELECT sum(e) FROM (SELECT avg(x * x) AS e FROM {LONG} GROUP BY h)), 6) AS share FROM {LONG} GROUP BY h")
+@book.query(f"SELECT h, round(avg(x * x), 6) AS energy, round(avg(x * x) / (SELECT sum(e) FROM (SELECT avg(x * x) AS e FROM {LONG} GROUP BY h)), 6) AS share FROM {LONG} GROUP BY h", longs=("h",))
 def channel_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A19"""
     return metrics.channel_energy(_long(spark, sf_dir)).select("h", F.round("energy", 6).alias("energy"), F.round("share", 6).alias("share"))
 
 
-@book.query(f"SELECT t, h, round(abs(x), 6) AS value FROM {LONG} ORDER BY abs(x) DESC, t, h LIMIT 1")
+@book.query(f"SELECT t, h, round(abs(x), 6) AS value FROM {LONG} ORDER BY abs(x) DESC, t, h LIMIT 1", longs=("h",))
 def greatest_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A19"""
     return metrics.greatest_place(_long(spark, sf_dir)).select("t", "h", F.round("value", 6).alias("value"))

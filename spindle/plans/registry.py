@@ -22,9 +22,15 @@ class Book:
         self.queries: dict[str, Query] = {}
         self.sql: dict[str, str] = {}
 
-    def query(self, sql: str | None) -> Callable[[Query], Query]:
+    def query(self, sql: str | None, longs: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+        """longs: columns that Spark has as int and the statement as a 64-bit number."""
+
         def put(f: Query) -> Query:
-            self.queries[f.__name__] = f
+            def widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+                df = f(spark, sf_dir)
+                return df.withColumns({c: df[c].cast("long") for c in longs})
+
+            self.queries[f.__name__] = widened if longs else f
             if sql is not None:
                 self.sql[f.__name__] = sql
             return f

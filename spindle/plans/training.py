@@ -52,7 +52,7 @@ def mix_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @book.query(f"""
 WITH p AS (SELECT s.*, trunc(weight * {TOTAL * 20}.0::DOUBLE)::BIGINT AS budget, unnest(generate_series(1, max_epochs)) AS pass FROM {SHARDS} s JOIN {MIX_SQL} m USING (domain))
-SELECT domain, shard, pass FROM (SELECT *, {RUN.format(p='domain', o="pass || " + order_sql(42, 'shard'))} AS before FROM p) WHERE before < budget""")
+SELECT domain, shard, pass FROM (SELECT *, {RUN.format(p='domain', o="pass || " + order_sql(42, 'shard'))} AS before FROM p) WHERE before < budget""", longs=("pass",))
 def mix_selection_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W2"""
     rows = budget.repeated_passes(_mixed(spark, sf_dir).withColumn("budget", T.truncated(F.col("weight") * F.lit(float(TOTAL * 20)))))
@@ -278,14 +278,14 @@ def sft_tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("pos", "prefix_len", F.size("input_ids").alias("n_ids"), tokens.ends_well(F.col("input_ids"), 0, tokens.SPECIALS.index("<|im_end|>")).alias("ends_well"))
 
 
-@book.query("SELECT doc_id, len(list_filter(range(least(n_chars, 64)), lambda i: i >= 16)) AS kept, least(n_chars, 16) AS masked FROM documents")
+@book.query("SELECT doc_id, len(list_filter(range(least(n_chars, 64)), lambda i: i >= 16)) AS kept, least(n_chars, 16) AS masked FROM documents", longs=("kept", "masked"))
 def masked_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W16"""
     masked = _code_points(spark, sf_dir).select("doc_id", tokens.masked_targets(F.slice("ids", 1, 64), F.lit(16)).alias("y"))
     return masked.select("doc_id", F.size(F.filter("y", lambda v: v != -100)).alias("kept"), F.size(F.filter("y", lambda v: v == -100)).alias("masked"))
 
 
-@book.query("SELECT doc_id, len(list_distinct(string_split(right(text, 256), ''))) AS n_seen FROM documents WHERE text <> ''")
+@book.query("SELECT doc_id, len(list_distinct(string_split(right(text, 256), ''))) AS n_seen FROM documents WHERE text <> ''", longs=("n_seen",))
 def look_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W14"""
     return _code_points(spark, sf_dir).select("doc_id", F.size(tokens.look_back(F.col("ids"))).alias("n_seen"))
