@@ -2,12 +2,14 @@
 
 A value is found by its format and validated (Luhn for cards, octets for addresses, the
 calendar for dates, mod 97 for account numbers, number plans for phones and social security
-numbers). What passes is permuted within its format by a keyed Feistel network over mixed
+numbers). A phone number behind +1 or with its area code in brackets may have any digits, a bare
+one those of the plan. A date with slashes is month first where it can be, else day first; account
+numbers stand in one piece or in groups of four, as long as their country has them. What passes is permuted within its format by a keyed Feistel network over mixed
 radices: each round adds, to the elements of one half, numbers that a keyed SHA-256 draws
 from the other half, modulo each element's own radix. That is a permutation of the format
 for any radices, so equal values stay equal across documents, different ones different, and
 the holder of the key can go back. Card numbers keep issuer and get a new check digit, dates
-stay dates of the same 400 years, octets stay octets, separators stay where they are.
+stay dates of the same 400 years, phones keep whether area code and exchange start with 0 or 1, octets stay octets, separators stay where they are.
 
 All of it is Spark SQL: the text is split at the matches, the matches are rewritten in
 place, and the parts are joined again; a row needs no other row, so nothing is shuffled.
@@ -28,16 +30,24 @@ from .shared import let
 KEY = "spindle-demonstration-key"
 ROUNDS = 8
 
+#: Lengths of account numbers by country, for those in groups of four; fixed values.
+ACCOUNTS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+GROUPED = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in ACCOUNTS.items())
+
 # Fixed formats. Each alternative starts and ends at a token's border.
 START, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 FORMATS = {
     "email": r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}._+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<=(?:token|key|secret|password|passwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})" + END,
-    "account": START + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + END,
+    "account": START + r"(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|" + GROUPED + ")" + END,
     "address": START + r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}" + END + r"(?!\.[0-9])",
     "date": START + r"(?<![0-9][-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})" + END + r"(?![-/.][0-9])",
     "social": START + r"(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}" + END + r"(?!-[0-9])",
-    "phone": r"(?<![\p{L}\p{N}_+-])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}" + END + r"|(?<![\p{L}\p{N}_+-])\+1[2-9][0-9]{2}[2-9][0-9]{6}" + END + r"|(?<![\p{L}\p{N}_+-])\+(?!1)[1-9][0-9]{1,2}(?:[ .-]?\(?[0-9]{2,5}\)?){2,5}" + END,
+    "phone": r"(?<![\p{L}\p{N}_+-])(?:(?:(?:\+1[ .-]?)?\([0-9]{3}\) ?|\+1[ .-]?[0-9]{3}[ .-])[0-9]{3}|[2-9][0-9]{2}[ .-][2-9][0-9]{2})[ .-][0-9]{4}" + END + r"|(?<![\p{L}\p{N}_+-])\+1[0-9]{10}" + END + r"|(?<![\p{L}\p{N}_+-])\+(?!1)[1-9][0-9]{1,2}(?:[ .-]?\(?[0-9]{2,5}\)?){2,5}" + END,
     "card": START + r"(?:[0-9]{13,19}|(?<![0-9][ -])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![ -][0-9]))" + END,
 }
 PATTERN = "|".join(FORMATS.values())
@@ -49,6 +59,9 @@ ISSUERS = r"^(?:4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|6011|64[4-9]|
 DAYS, DAY_RADIX, FIRST_DAY = 146_097, 773, "1800-01-01"
 DATE_FORMATS = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{4}/": "yyyy/MM/dd", r"^\d{2}\.": "dd.MM.yyyy", r"^\d{2}/": "MM/dd/yyyy"}
 
+#: Dates with slashes whose day is over 12 are day first; 400 years have 88,497 such days, as two radices.
+DAY_FIRST, LATE_DAYS, LATE_RADIX = r"^(?:1[3-9]|[23][0-9])/[0-9]{2}/", 88_497, 9_833
+
 
 def chars(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)))
@@ -65,6 +78,7 @@ def luhn_sum(digits: Column) -> Column:
 
 def mod97(account: Column) -> Column:
     """The remainder that a valid account number leaves: 1."""
+    account = F.replace(account, F.lit(" "))
     turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
     digit = lambda c: F.when(c <= F.lit("9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
     return F.aggregate(chars(turned), F.lit(0), lambda a, c: (a * F.when(c <= F.lit("9"), 10).otherwise(100) + digit(c)) % 97)
@@ -81,6 +95,22 @@ def day_of(value: Column) -> Column:
     return F.when((nr >= 0) & (nr < DAYS), nr)
 
 
+def late_day_of(value: Column) -> Column:
+    """The place of a day-first date among the days over 12 since FIRST_DAY, or null."""
+    found = F.when(value.rlike(DAY_FIRST), F.try_to_timestamp(value, F.lit("dd/MM/yyyy"))).cast("date")
+    nr = F.datediff(found, F.lit(FIRST_DAY).cast("date")) - 12 * ((F.year(found) - 1800) * 12 + F.month(found))
+    return F.when((nr >= 0) & (nr < LATE_DAYS), nr)
+
+
+def late_day(nr: Column) -> Column:
+    """The date at a place among the days over 12."""
+    first = F.lit(FIRST_DAY).cast("date")
+    before = lambda m: F.datediff(F.add_months(first, m), first) - 12 * m
+    guess = F.floor(nr * 4800 / LATE_DAYS).cast("int")
+    month = F.array_max(F.filter(F.sequence(guess - 2, guess + 2), lambda m: before(m) <= nr))
+    return let(month, lambda m: F.date_add(first, nr + 12 * (m + 1)))
+
+
 def kind_of(value: Column) -> Column:
     """The format that a match has and passes, or null."""
     octets = F.transform(F.split(value, r"\."), lambda x: x.cast("int"))
@@ -88,10 +118,10 @@ def kind_of(value: Column) -> Column:
     return (
         F.when(value.contains("@"), "email")
         .when(value.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), F.when(F.forall(octets, lambda x: x <= 255), F.lit("address")))
-        .when(value.rlike(r"^(?:[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})$"), F.when(day_of(value).isNotNull(), F.lit("date")))
+        .when(value.rlike(r"^(?:[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})$"), F.when(day_of(value).isNotNull(), F.lit("date")).when(late_day_of(value).isNotNull(), F.lit("day_first")))
         .when(value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when((area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0), F.lit("social")))
         .when(value.rlike(r"^[0-9]{4}(?:[0-9]{9,15}|[ -][0-9 -]+)$"), F.when(F.regexp_replace(value, "[ -]", "").rlike(ISSUERS) & (luhn_sum(digits_of(value)) % 10 == 0), F.lit("card")))
-        .when(value.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$") & (mod97(value) == 1), F.lit("account"))
+        .when(value.rlike(r"^[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{1,4})+)$") & (mod97(value) == 1), F.lit("account"))
         .when(value.rlike(r"^(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})$"), F.when(value.rlike("[0-9]") & value.rlike("[A-Fa-f]"), F.lit("secret")))
         .when(value.rlike(r"^[+(]|^[2-9][0-9]{2}[ .-]"), F.when(F.length(F.regexp_replace(value, "[^0-9]", "")).between(8, 15), F.lit("phone")))
     )
@@ -118,13 +148,14 @@ def classes(value: Column, kind: Column) -> Column:
     size = F.length(F.regexp_replace(value, "[^0-9]", ""))
     fixed = F.struct(F.lit(0).alias("low"), F.lit(1).alias("n"))
     national = value.rlike(r"^\+1|^[(2-9]")
-    first_of_plan = F.struct(F.lit(50).alias("low"), F.lit(8).alias("n"))
+    plan = F.struct(F.lit(50).alias("low"), F.lit(8).alias("n"))
+    no_plan = F.struct(F.lit(48).alias("low"), F.lit(2).alias("n"))
 
     def own(c: Column, i: Column) -> Column:
         k = rest(i)  # digits from here on
         return (
             F.when(kind == "card", F.when((k <= 1) | (size - k < 4), fixed).otherwise(low_of(c, 1)))
-            .when(kind == "phone", F.when(~c.between("0", "9"), fixed).when(national & ((k == 10) | (k == 7)), first_of_plan).when(national & (k > 10) | ~national & (size - k < 2), fixed).otherwise(low_of(c, 1)))
+            .when(kind == "phone", F.when(~c.between("0", "9"), fixed).when(national & ((k == 10) | (k == 7)), F.when(c >= "2", plan).otherwise(no_plan)).when(national & (k > 10) | ~national & (size - k < 2), fixed).otherwise(low_of(c, 1)))
             .when(kind == "email", F.when(i + 1 >= F.instr(value, "@"), fixed).otherwise(low_of(c, 26)))
             .when(kind == "account", F.when(i < 4, fixed).otherwise(low_of(c, 26)))
             .otherwise(low_of(c, 6))
@@ -178,10 +209,11 @@ def from_chars(value: Column, kind: Column, key: str, back: bool) -> Column:
 def from_numbers(value: Column, kind: Column, key: str, back: bool) -> Column:
     """Formats made of numbers: octets, social security numbers, dates."""
     area = F.substring(value, 1, 3).cast("int")
-    day = day_of(value)
+    day, late = day_of(value), late_day_of(value)
     elements = (
         F.when(kind == "address", F.transform(F.split(value, r"\."), lambda x: element(x, 256)))
         .when(kind == "social", F.array(element(area - F.when(area > 666, 2).otherwise(1), 898), element(F.substring(value, 5, 2).cast("int") - 1, 99), element(F.substring(value, 8, 4).cast("int") - 1, 9999)))
+        .when(kind == "day_first", F.array(element(F.floor(late / LATE_RADIX), LATE_DAYS // LATE_RADIX), element(late % LATE_RADIX, LATE_RADIX)))
         .otherwise(F.array(element(F.floor(day / DAY_RADIX), DAYS // DAY_RADIX), element(day % DAY_RADIX, DAY_RADIX)))
     )
 
@@ -193,6 +225,7 @@ def from_numbers(value: Column, kind: Column, key: str, back: bool) -> Column:
         return (
             F.when(kind == "address", F.array_join(F.transform(e, lambda x: x["v"].cast("string")), "."))
             .when(kind == "social", F.concat_ws("-", F.lpad(a.cast("string"), 3, "0"), F.lpad((v(1) + 1).cast("string"), 2, "0"), F.lpad((v(2) + 1).cast("string"), 4, "0")))
+            .when(kind == "day_first", F.date_format(late_day(v(0) * LATE_RADIX + v(1)), "dd/MM/yyyy"))
             .otherwise(dated)
         )
 
@@ -203,7 +236,7 @@ def pseudonym(value: Column, key: str = KEY, back: bool = False) -> Column:
     """The pseudonym of a match, or the match itself where it isn't valid; back: the reverse."""
 
     def body(kind: Column) -> Column:
-        numbers = kind.isin("address", "social", "date")
+        numbers = kind.isin("address", "social", "date", "day_first")
         return F.when(kind.isNull(), value).when(numbers, from_numbers(value, kind, key, back)).otherwise(from_chars(value, kind, key, back))
 
     return let(kind_of(value), body)

@@ -121,3 +121,44 @@ def test_whole_table(spark, small):
 def test_nothing_but_sql_operators(spark, small):
     plan = pseudonyms(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+MARKED = {
+    "+1 (017) 555-7713": r"\+1 \([01]\d\d\) [2-9]\d\d-\d{4}",
+    "+1 (132) 555-1352": r"\+1 \([01]\d\d\) [2-9]\d\d-\d{4}",
+    "(415) 155-2671": r"\([2-9]\d\d\) [01]\d\d-\d{4}",
+    "+1-017-055-7713": r"\+1-[01]\d\d-[01]\d\d-\d{4}",
+    "+10175557713": r"\+1[01]\d\d[2-9]\d{6}",
+    "25/12/1999": r"(1[3-9]|2\d|3[01])/(0[1-9]|1[0-2])/\d{4}",
+    "29/02/2020": r"(1[3-9]|2\d|3[01])/(0[1-9]|1[0-2])/\d{4}",
+    "DE89 3704 0044 0532 0130 00": r"DE\d\d( \d{4}){4} \d\d",
+    "BE68 5390 0754 7034": r"BE\d\d( \d{4}){3}",
+    "GB82 WEST 1234 5698 7654 32": r"GB\d\d [A-Z]{4}( \d{4}){3} \d\d",
+}
+
+
+def test_marked_phones_day_first_dates_and_grouped_accounts(spark):
+    texts = [f"see {v} 2020 or {v}, ok" for v in MARKED]
+    out = new(spark, texts)
+    for (v, form), o in zip(MARKED.items(), out, strict=True):
+        a, b = re.fullmatch("see (.*) 2020 or (.*), ok", o).groups()
+        assert a == b != v and re.fullmatch(form, a), (v, o)
+    assert new(spark, out, back=True) == texts
+    bare = ["017-555-7713", "415-155-2671", "31/02/2020", "32/01/2020", "13/13/2020", "DE88 3704 0044 0532 0130 00"]
+    assert new(spark, bare) == bare
+
+
+def test_planted_phones_of_any_area_code(spark, small):
+    place = small.replace("sf0.001", "sf0.1")
+    docs = spark.read.parquet(f"{place}/documents.parquet").where(r"text rlike '\\+1 \\([0-9]{3}\\) 555-[0-9]{4}'")
+    planted = re.compile(r"\+1 \(\d{3}\) 555-\d{4}")
+    rows = op.replace_personal(docs).collect()
+    found = [(p, r.text) for r in rows for p in planted.findall(r.row.text)]
+    assert len(found) >= 159 and not any(p in t for p, t in found)
+
+
+def test_late_days_are_numbered_without_gaps(spark):
+    df = spark.range(op.LATE_DAYS).select(F.col("id").cast("int").alias("i"))
+    text = df.select("i", F.date_format(op.late_day(F.col("i")), "dd/MM/yyyy").alias("d"))
+    bad = text.where(~F.col("d").rlike(op.DAY_FIRST) | ~F.col("i").eqNullSafe(op.late_day_of(F.col("d"))))
+    assert bad.count() == 0 and text.agg(F.min(F.right("d", F.lit(4))), F.max(F.right("d", F.lit(4)))).first()[:] == ("1800", "2199")
