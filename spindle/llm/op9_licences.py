@@ -2,9 +2,10 @@
 
 A text is brought to lower-case words with one blank between; one automaton finds all notice
 phrases as whole words in one pass, wherever they overlap. Identifier tags are found by the
-automaton too; what follows a tag is a licence expression, which a shunting-yard parser brings
-to postfix form, ``with`` binding before ``and`` and ``and`` before ``or``. Its evaluation
-gives the licences named and whether some choice it offers is permissive throughout.
+automaton too; what follows a tag, up to the line's end or the next tag and however long, is a
+licence expression, which a shunting-yard parser brings to postfix form, ``with`` binding before
+``and`` and ``and`` before ``or``. It ends where a second operand follows an operand. Its
+evaluation gives the licences named and whether some choice it offers is permissive throughout.
 
 Edge cases: null and empty texts have no words and no labels; a malformed expression gives
 the licences named in it and no verdict; repeated rows are scanned each; a null ``doc_id``
@@ -46,7 +47,7 @@ TAG = "spdx license identifier"
 PERMISSIVE = {"mit", "apache-2", "apache-2.0", "bsd", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "unlicense", "cc0-1.0", "cc-by", "cc-by-4.0", "0bsd", "bsl-1.0"}
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TABLE = bytes(b if b >= 0x80 or chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else ord(chr(b).lower()) if chr(b) in UPPER else 0x20 for b in range(256))
-_EXPRESSION = re.compile(r"spdx-license-identifier\s*:\s*([^\n]{1,400})", re.I)
+_TAG = re.compile(r"spdx-license-identifier\s*:\s*", re.I)
 _TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+-]*", re.I)
 
 
@@ -82,12 +83,38 @@ def places(words: list[bytes]) -> list[tuple[int, str]]:
     return found
 
 
+def expressions_of(text: str) -> Iterator[str]:
+    """What follows each tag, up to the end of the line or the next tag."""
+    tags = list(_TAG.finditer(text))
+    for k, tag in enumerate(tags):
+        limit = tags[k + 1].start() if k + 1 < len(tags) else len(text)
+        end = text.find("\n", tag.end(), limit)
+        yield text[tag.end() : limit if end < 0 else end]
+
+
+def named_in(expression: str) -> set[str]:
+    """The licences of a malformed expression, up to where an operand follows an operand."""
+    named: set[str] = set()
+    operand = False
+    for found in _TOKEN.finditer(expression):
+        token = found[0].lower()
+        if token in PRECEDENCE:
+            operand = False
+        elif token not in "()":
+            if operand:
+                break
+            named.add(token)
+            operand = True
+    return named
+
+
 def postfix(expression: str) -> list[str] | None:
     """Shunting-yard: an expression in postfix order, or None where it is malformed."""
     out: list[str] = []
     stack: list[str] = []
     operand = False  # whether the last token ended an operand
-    for token in _TOKEN.findall(expression.lower()):
+    for found in _TOKEN.finditer(expression):
+        token = found[0].lower()
         if token in PRECEDENCE:
             if not operand:
                 return None
@@ -126,7 +153,12 @@ def evaluate(rpn: list[str], permissive: frozenset[str] = frozenset(PERMISSIVE))
     for token in rpn:
         if token in PRECEDENCE:
             (right, r), (left, l_) = stack.pop(), stack.pop()
-            stack.append((left, l_) if token == "with" else (left | right, l_ and r if token == "and" else l_ or r))
+            if token == "with":
+                stack.append((left, l_))
+                continue
+            less, more = sorted((left, right), key=len)
+            more |= less  # the larger set grows, so that long expressions stay cheap
+            stack.append((more, l_ and r if token == "and" else l_ or r))
         else:
             stack.append(({token}, token in permissive))
     return stack[-1]
@@ -141,10 +173,10 @@ def scan(text: str) -> tuple:
     verdicts = [label in PERMISSIVE for label in sorted(labels)]
     expressions = []
     if any(p == TAG for _, p in found):
-        for expression in _EXPRESSION.findall(text):
+        for expression in expressions_of(text):
             rpn = postfix(expression)
             if rpn is None:
-                labels |= {t for t in _TOKEN.findall(expression.lower()) if t not in PRECEDENCE and t not in "()"}
+                labels |= named_in(expression)
                 continue
             named, verdict = evaluate(rpn)
             labels |= named

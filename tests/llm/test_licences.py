@@ -78,3 +78,21 @@ def test_tags():
     row = op.scan("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-3.0-only\ncode")
     assert row[5] == "apache-2.0,gpl-3.0-only,mit" and row[7] == "mit apache-2.0 or gpl-3.0-only and" and row[8] is False
     assert op.scan("SPDX-License-Identifier: MIT OR")[5] == "mit" and op.scan("SPDX-License-Identifier: MIT OR")[8] is None
+
+
+def test_two_tags_in_one_line():
+    row = op.scan("a.c: SPDX-License-Identifier: MIT b.c: SPDX-License-Identifier: GPL-3.0 OR ISC c.c: spdx-license-identifier:Zlib")
+    assert row[5] == "gpl-3.0,isc,mit,zlib" and row[7] == "mit; gpl-3.0 isc or; zlib" and row[8] is True
+    assert op.scan("SPDX-License-Identifier:\nSPDX-License-Identifier: MIT")[5] == "mit"
+
+
+def test_expressions_of_any_length():
+    names = [f"LicenseRef-{i:04d}" for i in range(3000)]
+    row = op.scan(f"SPDX-License-Identifier: ({' OR '.join(names)}) AND MIT\nGPL-2.0")
+    assert row[5].split(",") == sorted([n.lower() for n in names] + ["mit"]) and row[8] is False
+    tail = op.scan("SPDX-License-Identifier: (" + " " * 500 + "MIT AND ISC) SPDX-License-Identifier: BSL-1.0")
+    assert tail[7] == "mit isc and; bsl-1.0"
+
+
+def test_prose_after_a_malformed_expression_names_nothing():
+    assert op.scan("SPDX-License-Identifier: (MIT OR ISC " + "some prose " * 100)[5] == "isc,mit"
