@@ -25,7 +25,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import UPPER, materialised, modest_batches, slices, text_of
@@ -56,16 +56,18 @@ def fingerprint(text: str, width: int = SHINGLE, chunk: int = 1 << 15) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed number."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed number; hashed: and t, a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             values = np.array([fingerprint(t.as_py(), width) for t in batch[1]], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(values)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch[0], pa.array(values), *batch.columns[2:]], ["doc_id", "fp", *more])
 
+    more = ["t"] if hashed else []
     modest_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), *[F.xxhash64(text_of(text_col)).alias(c) for c in more])
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *more]))
 
 
 class BKTree:
@@ -215,35 +217,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, root, component_id) of every row; root names the component."""
-    own = materialised(fingerprints(docs, width, id_col, text_col), "fingerprints", compact=True)
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id, fp, root, component_id) of every row; root names the component; hashed: and t, a hash of the text."""
+    own = materialised(fingerprints(docs, width, id_col, text_col, hashed), "fingerprints", compact=True)
     distinct = materialised(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     tree = components(links(distinct.select("fp"), distinct.count(), radius))
     rooted = distinct.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
+    return own.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id", *(["t"] if hashed else []))
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near duplicates: of each component the row with the least id stays.
 
-    Of rows with equal ids one stays; a component all of whose ids are null keeps one row.
+    Rows without an id come last; of equal ids the least fingerprint stays, then the least hash
+    of the text. Whatever the ids, a component keeps exactly one row.
     """
-    found = near_duplicates(docs, radius, width, id_col, text_col)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(0)).alias("k1"), F.isnull("doc_id").alias("k2"), "fp").distinct()
-    ids = stays.where("not k2").select("k1", "k2").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k1"), F.isnull(id_col).alias("k2"), F.xxhash64(text_col).alias("t"))
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("t"))
-    named = rows.where("not k2").join(ids, ["k1", "k2"], "left_semi").withColumn("nr", first).where("nr = 1").select("row.*")
-    if not (nameless := rows.where("k2")).isEmpty():
-        # without an id a row can only be told by its fingerprint
-        own = fingerprints(nameless.select(F.xxhash64("row").alias("doc_id"), F.col(f"row.{text_col}").alias("text")), width)
-        pick = own.join(stays.where("k2").select("fp"), "fp", "left_semi")
-        roots = found.where("doc_id is null").select("fp", "root").distinct()
-        pick = pick.join(roots, "fp").groupBy("root").agg(F.min("doc_id").alias("h")).select("h").distinct()
-        extra = nameless.withColumn("h", F.xxhash64("row")).join(pick, "h", "left_semi")
-        named = named.union(extra.withColumn("nr", F.row_number().over(Window.partitionBy("h").orderBy("t"))).where("nr = 1").select("row.*"))
-    return named
+    found = near_duplicates(docs, radius, width, id_col, text_col, hashed=True)
+    least = F.min(F.struct(F.isnull("doc_id").alias("k2"), F.coalesce("doc_id", F.lit(0)).alias("k1"), "fp", "t")).alias("least")
+    stays = found.groupBy("root").agg(least).select("least.k1", "least.k2", "least.t")
+    key = ["k1", "k2", "t"]
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k1"), F.isnull(F.col(id_col).cast("long")).alias("k2"), F.xxhash64(text_of(text_col)).alias("t"))
+    first = F.row_number().over(Window.partitionBy(*key).orderBy("t"))
+    return rows.join(stays, key, "left_semi").withColumn("nr", first).where("nr = 1").select("row.*")

@@ -111,3 +111,10 @@ def test_large_shards_are_cut_without_loss(spark):
 def test_long_chain_of_links(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(300)], "a long, b long")
     assert {(r.node, r.root) for r in op.components(edges).collect()} == {(i, 0) for i in range(1, 301)}
+
+
+def test_each_component_keeps_one_row_when_texts_share_an_id(spark):
+    a, b, c = ("first words of all here", "another text with its own words", "a third one that nobody else has")
+    rows = [(1, a), (1, b), (2, b), (3, c), (3, c), (4, a)]
+    docs = documents(spark, [(d, t, "en", "a", len(t)) for d, t in rows])
+    assert Counter((r.doc_id, r.text) for r in op.one_of_each(docs).collect()) == Counter([(1, a), (1, b), (3, c)])
