@@ -5,9 +5,13 @@ piece lengths (at most ``capacity`` numbers, whatever the corpus) reaches the dr
 
 1. the configuration LP (a variable per way of filling a sequence, a row per length) is
    solved by multiplicative weights: each round prices the lengths by how little they are
-   covered so far, and a knapsack dynamic program finds the best filling at these prices;
-2. the fractional solution is rounded down, rounds repeat on what is left, and the rest,
-   which is bounded by the number of fillings, goes best-fit into sequences.
+   covered so far, and a knapsack dynamic program finds the best fillings at these prices,
+   and with them a lower bound of what any packing needs;
+2. the fractional solution is rounded; the rest, which is bounded by the number of fillings
+   and not by the corpus, goes best-fit into sequences.
+
+It is the same whatever the histogram's size; how near a plan is to the bound is
+``solved(...).sequences`` against ``solved(...).bound``.
 
 The outcome is a table of rank ranges by length. Executors number the pieces of a length
 (salted, so that a length which holds a third of all pieces is no hot key) and look up
@@ -25,6 +29,8 @@ from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +40,9 @@ from pyspark.sql import functions as F
 from .shared import materialised, modest_batches, shuffle_width, slices, text_of
 
 CAPACITY, END_ID = 1024, 2
-#: Extra worth of long lengths, and how fast a weight falls with coverage.
-LONG, DECAY = 2.0, 0.1
+#: Knapsack programs a phase, but for the last. Phases of the linear program and how fast a weight falls with coverage, as tried in turn
+#: until a plan needs at most this share more sequences than the bound.
+TURNS, SCHEDULES, ENOUGH = 2, ((3, 1.0), (4, 0.5), (6, 0.3)), 0.001
 END_OF_TEXT = "<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -107,109 +114,150 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", cap
 # --- the linear program -------------------------------------------------------------
 
 
-def best_filling(prices: np.ndarray, capacity: int) -> Counter:
-    """Knapsack by dynamic programming: lengths with repetition, of most worth in one sequence.
-
-    prices[n] is the worth of length n; lengths without worth aren't used.
-    """
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """By room: the most worth that lengths with repetition give, and a length that comes last there."""
     worth, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    lengths = np.flatnonzero(prices > 0)
-    own = prices[lengths]
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
-        k = int(np.searchsorted(lengths, room, side="right"))
-        worth[room], last[room] = worth[room - 1], 0
-        if k:
-            total = worth[room - lengths[:k]] + own[:k]
+        worth[room] = worth[room - 1]
+        if k := int(upto[room]):
+            total = worth[room - lengths[:k]] + prices[:k]
             best = int(total.argmax())
             if total[best] > worth[room]:
                 worth[room], last[room] = total[best], lengths[best]
-    filling, room = Counter(), capacity
-    while room > 0:
-        if last[room]:
-            filling[int(last[room])] += 1
-            room -= int(last[room])
-        else:
-            room -= 1
-    return filling
-
+    return worth, last
 
-def fractional(demand: np.ndarray, capacity: int, step: float = 0.25, rounds: int = 600) -> list[tuple[Counter, float]]:
-    """Multiplicative weights for the configuration LP: (filling, how often), fractional.
 
-    A length's weight falls exponentially with the share of its demand that is covered;
-    covered lengths leave. A round takes the best filling as often as covers ``step`` of
-    the demand of its scarcest length; after ``rounds`` rounds, all that is left of it. So a
-    round then settles a length, all demand is covered in the end, and there are at most
-    ``rounds + capacity`` fillings however many pieces there are.
+def best_filling(last: np.ndarray, room: int) -> Counter:
+    """The lengths that a knapsack program puts into a room."""
+    filling: Counter = Counter()
+    while room > 0:
+        n = int(last[room])
+        filling[n] += n > 0
+        room -= n or 1
+    return +filling
+
+
+def fractional(demand: np.ndarray, capacity: int, phases: int, decay: float) -> tuple[list[tuple[Counter, float]], float]:
+    """Multiplicative weights for the configuration LP: (filling, how often), and a lower bound.
+
+    A length's weight starts at its share of a sequence, its price where every sequence can be
+    filled, and falls exponentially with the share of its demand that is covered. Each phase
+    brings the lengths to the next of ``phases`` equal levels of coverage: a knapsack program
+    prices all fillings, and every length below the level, long ones first, takes the best
+    filling that holds it until it, or another length of that filling, is done. A length whose
+    company ran out ``TURNS`` times waits for the next phase; the last one covers all. Every program
+    also bounds the LP from below: demand times prices over the worth of the best filling is
+    feasible in the dual.
     """
     lengths = np.flatnonzero(demand)
-    covered, base = np.zeros(capacity + 1), np.arange(capacity + 1) / capacity
-    found: list[tuple[Counter, float]] = []
-    for nr in range(rounds + capacity + 1):
-        prices = np.zeros(capacity + 1)
-        left = lengths[covered[lengths] < 1 - 1e-9]
-        if not len(left):
-            break
-        # a length's base price grows faster than its tokens, since long ones are hard to fit later
-        prices[left] = base[left] * (1 + LONG * base[left]) * np.exp(-DECAY * covered[left])
-        filling = best_filling(prices, capacity)
-        most = {n: demand[n] * (1 - covered[n]) / k for n, k in filling.items()}
-        often = min(most.values())
-        if nr < rounds:
-            often = min(often, max(1.0, min(demand[n] * step / k for n, k in filling.items())))
-        for n, k in filling.items():
-            covered[n] = 1.0 if most[n] <= often * (1 + 1e-12) else covered[n] + often * k / demand[n]
-        found.append((filling, often))
-    return found
-
-
-def best_fit(demand: np.ndarray, capacity: int) -> list[Counter]:
+    covered, found, bound = np.zeros(capacity + 1), [], 0.0
+    for phase in range(1, phases + 1):
+        level, turns = phase / phases, 0
+        while todo := [int(n) for n in lengths[::-1] if covered[n] < level - 1e-9]:
+            turns += 1
+            if turns > TURNS and phase < phases:
+                break
+            open_ = lengths[covered[lengths] < 1]
+            prices = open_ / capacity * np.exp(-decay * covered[open_])
+            worth, last = knapsack(open_, prices, capacity)
+            bound = max(bound, float(prices @ demand[open_] / worth[capacity]))
+            for n in todo:
+                filling = best_filling(last, capacity - n) + Counter([n])
+                most = {m: demand[m] * ((level if m == n else 1.0) - covered[m]) / k for m, k in filling.items()}
+                often = min(most.values())
+                if often <= 1e-9 * demand[n]:
+                    continue
+                found.append((filling, often))
+                for m, k in filling.items():
+                    covered[m] += often * k / demand[m]
+                    if covered[m] > 1 - 1e-9:
+                        covered[m] = 1.0
+    return found, bound
+
+
+def rounded(demand: np.ndarray, fillings: list[tuple[Counter, float]], capacity: int) -> list[tuple[Counter, int]]:
+    """Whole fillings that hold the demand exactly, those of long pieces first.
+
+    Fractions that leave next to no room round up from a quarter on, where their pieces are still
+    there, others down and one less; what is left goes best-fit.
+    """
+    left, chosen = demand.copy(), []
+    ordered = sorted(fillings, key=lambda x: -sum(n * n * k for n, k in x[0].items()))
+    room = [capacity - sum(n * k for n, k in filling.items()) for filling, _ in ordered]
+    for up, least, most in ((0.75, 0, capacity // 128), (1e-9 - 1, capacity // 128 + 1, capacity)):
+        for (filling, often), free in zip(ordered, room, strict=True):
+            if least <= free <= most and (whole := min(int(often + up), *(int(left[n] // k) for n, k in filling.items()))) > 0:
+                chosen.append((filling, whole))
+                for n, k in filling.items():
+                    left[n] -= whole * k
+    return chosen + best_fit(left, capacity)
+
+
+def best_fit(demand: np.ndarray, capacity: int) -> list[tuple[Counter, int]]:
     """Longest first, each into the fullest sequence that still has room."""
     rooms: list[int] = []
     open_: dict[int, list[Counter]] = defaultdict(list)
-    done: list[Counter] = []
-    for n in np.flatnonzero(demand)[::-1]:
-        n = int(n)
-        for _ in range(int(demand[n])):
-            at = bisect_left(rooms, n)
-            if at < len(rooms):
-                room = rooms[at]
-                filling = open_[room].pop()
-                if not open_[room]:
-                    rooms.pop(at)
-            else:
-                room, filling = capacity, Counter()
-                done.append(filling)
-            filling[n] += 1
-            if room > n:
-                if not open_[room - n]:
-                    insort(rooms, room - n)
-                open_[room - n].append(filling)
+    done: list[tuple[Counter, int]] = []
+    for n in map(int, np.repeat(np.arange(capacity + 1), demand)[::-1]):
+        at = bisect_left(rooms, n)
+        if at < len(rooms):
+            room = rooms[at]
+            filling = open_[room].pop()
+            if not open_[room]:
+                rooms.pop(at)
+        else:
+            room, filling = capacity, Counter()
+            done.append((filling, 1))
+        filling[n] += 1
+        if room > n:
+            if not open_[room - n]:
+                insort(rooms, room - n)
+            open_[room - n].append(filling)
     return done
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Fillings and how many sequences each fills; together they hold the histogram exactly."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
+class Plan(NamedTuple):
+    """Fillings and how many sequences each fills, and how few sequences any packing needs."""
+
+    fillings: list[tuple[dict[int, int], int]]
+    bound: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(k for _, k in self.fillings)
+
+
+def solved(histogram: dict[int, int], capacity: int = CAPACITY, schedules: tuple[tuple[int, float], ...] = SCHEDULES, enough: float = ENOUGH) -> Plan:
+    """A plan for a histogram of lengths; its fillings hold the histogram exactly.
+
+    schedules: (phases, decay) tried in turn until a plan is within ``enough`` of the bound; the
+    best plan counts.
+    """
+    demand = np.zeros(capacity + 1, dtype=np.int64)
     for n, k in histogram.items():
-        left[n] += k
-    chosen: Counter = Counter()
-    if left[capacity]:  # a full piece has one filling
-        chosen[((capacity, 1),)] = int(left[capacity])
-        left[capacity] = 0
-    while left.sum() > 4 * capacity:
-        before = int(left.sum())  # after the first turn at most what rounding leaves of each filling
-        for filling, often in sorted(fractional(left, capacity), key=lambda x: -x[1]):
-            whole = min(int(often + 1e-9), *(int(left[n] // k) for n, k in filling.items()))
-            if whole > 0:
-                chosen[tuple(sorted(filling.items()))] += whole
-                for n, k in filling.items():
-                    left[n] -= whole * k
-        if left.sum() > 0.9 * before:
+        demand[n] += k
+    full, demand[capacity] = int(demand[capacity]), 0  # a full piece has one filling
+    best, bound = None, 0
+    for phases, decay in schedules if demand.any() else ():
+        fillings, below = fractional(demand, capacity, phases, decay)
+        bound = max(bound, ceil(below - 1e-6))
+        chosen: Counter = Counter()
+        for filling, k in rounded(demand, fillings, capacity):
+            chosen[tuple(sorted(filling.items()))] += k
+        if best is None or chosen.total() < best.total():
+            best = chosen
+        if best.total() <= bound * (1 + enough):
             break
-    for filling in best_fit(left, capacity):
-        chosen[tuple(sorted(filling.items()))] += 1
-    return [(dict(filling), k) for filling, k in sorted(chosen.items())]
+    best = best or Counter()
+    if full:
+        best[((capacity, 1),)] += full
+    return Plan([(dict(filling), k) for filling, k in sorted(best.items())], bound + full)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """Fillings and how many sequences each fills; together they hold the histogram exactly."""
+    return solved(histogram, capacity).fillings
 
 
 def ranges(fillings: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
