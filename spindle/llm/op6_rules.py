@@ -2,18 +2,20 @@
 
 Two parts, both Spark SQL only. The first counts within a text: words, their characters,
 symbols, repeated lines, and words in three-word windows that occur again. The second counts
-across documents: normalised lines are hashed, and for each host (``source``) the different
-texts that hold a line are counted; a line above the limit (``LINE_DOCS`` texts and ``LINE_SHARE``
-of the host's texts) is removed everywhere but in the first document that holds it. A document
-left with under ``LEFT`` of its characters is depleted and rejected. Exact copies count as one
-text, since copies are for the de-duplication operators to settle.
+across documents: normalised lines are hashed, and for each host (``source``) the distinct
+documents that hold a line are counted. A line that ``LINE_DOCS`` or more of them hold, however
+many documents the host has, is removed from all of them. A document left with under ``LEFT`` of
+its characters is depleted and rejected. Documents are distinct by their text: an exact copy is
+no further document, since otherwise ten copies of any document would reject it whole, the last
+copy too, where the de-duplication operators keep one.
 
-Lines shuffle as hashes; a frequent line is summed before the shuffle and its join is split by
-adaptive execution; texts never move.
+Texts are read once: counts and line hashes go to a table in the shared folder, and all that
+follows reads that. Lines shuffle as hashes; a frequent line is summed before the shuffle and its
+join is split by adaptive execution; texts never move.
 
 Edge cases: a null text has no words; empty ones fail the word count; a null ``source`` is a
-host of its own; a null ``doc_id`` is kept; repeated rows get a row each; an empty table gives
-an empty result; other columns are not read.
+host of its own, equal to the empty one; a null ``doc_id`` is kept; repeated rows get a row each;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,14 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, let, text_of
+from .shared import BLANKS, let, materialised, text_of
 
 WORD, SYMBOLS, BLANK_CLASS = r"[^\x20\x09-\x0D]+", "#*$%&|<>", r"[\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: A line is frequent in a host from so many of its texts on, both absolutely and as a share.
-LINE_DOCS, LINE_SHARE = 10, 0.001
-#: Least share of characters that a document must keep.
-LEFT = 0.3
+#: A line is frequent in a host from so many of its documents on.
+LINE_DOCS = 10
+#: Least share of characters that a document must keep: published filters for web text reject
+#: documents of which over 30 % is repeated lines.
+LEFT = 0.7
 
 
 def repeated_words(words: Column) -> Column:
@@ -68,29 +71,43 @@ def normalised_lines(text: Column) -> Column:
     return F.transform(F.split(F.translate(F.lower(text), "123456789", "000000000"), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
 
 
+def line_hashes(text: Column) -> Column:
+    """A struct for each line that isn't blank: two hashes of it, and its size with the line's end."""
+    own = F.filter(normalised_lines(text), lambda x: x != "")
+    return F.transform(own, lambda x: F.struct(F.xxhash64(x).alias("h1"), F.hash(x).alias("h2"), (F.length(x) + 1).alias("size")))
+
+
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The counts of every row, base_failed, chars_removed, and kept."""
-    text = text_of(text_col)
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k1"), F.isnull(id_col).alias("k2")]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *key, F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("text"), F.xxhash64(text).alias("t"))
-    counted = rows.select("doc_id", "k1", "k2", "t", F.length("text").alias("n_chars"), *[c.alias(n) for n, c in base_counts(F.col("text")).items()])
-
-    lines = rows.select("k1", "k2", "t", F.xxhash64("host").alias("host"), F.explode(normalised_lines(F.col("text"))).alias("line")).where("line <> ''")
-    lines = lines.select("k1", "k2", "t", "host", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), (F.length("line") + 1).alias("size"))
-    line = ["host", "h1", "h2"]
-    texts = lines.groupBy(*line, "t").agg(F.min(F.struct("k2", "k1")).alias("first"))  # a text counts once
-    held = texts.groupBy(*line).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("first", "t")).alias("f")).where(F.col("n") >= LINE_DOCS)
-    hosts = rows.groupBy(F.xxhash64("host").alias("host"), "t").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("host_texts"))
-    frequent = held.join(hosts, "host").where(F.col("n") >= LINE_SHARE * F.col("host_texts")).select(*line, F.col("f.first").alias("first"), F.col("f.t").alias("first_text"))
-
-    hits = lines.join(frequent, line).where(~((F.col("first") == F.struct("k2", "k1")) & (F.col("first_text") == F.col("t"))))
-    removed = hits.groupBy("k1", "k2", "t").agg(F.sum("size").alias("removed"), F.count(F.lit(1)).alias("hits"))
-    copies = rows.groupBy("k1", "k2", "t").agg(F.count(F.lit(1)).alias("copies"))
-    # rows that repeat an id with its text have summed their lines together
-    removed = removed.join(copies, ["k1", "k2", "t"]).select("k1", "k2", "t", (F.col("removed") / F.col("copies")).cast("long").alias("removed"), (F.col("hits") / F.col("copies")).cast("long").alias("lines_removed"))
-
-    out = counted.join(removed, ["k1", "k2", "t"], "left").select(
-        "doc_id", F.col("both.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("both.r").alias("n_repeat_words"), F.coalesce("lines_removed", F.lit(0)).alias("lines_removed"), F.coalesce("removed", F.lit(0)).alias("chars_removed"), "n_chars"
+    """The counts of every row, lines and characters removed, base_failed, and kept."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit(""))).alias("host"), text_of(text_col).alias("text"))
+    counted = rows.select(
+        "doc_id",
+        "host",
+        F.xxhash64("text").alias("t1"),
+        F.hash("text").alias("t2"),
+        F.length("text").alias("n_chars"),
+        *[c.alias(n) for n, c in base_counts(F.col("text")).items()],
+        line_hashes(F.col("text")).alias("lines"),
+    )
+    counted = materialised(counted, "line-hashes", compact=True)
+
+    document, line = ["host", "t1", "t2"], ["host", "h1", "h2"]
+    distinct = counted.select(*document, "lines").where(F.size("lines") > 0).dropDuplicates(document)
+    held = distinct.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))))).alias("line"))
+    frequent = held.groupBy("host", "line.h1", "line.h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LINE_DOCS).select(*line)
+    lines = distinct.select(*document, F.explode("lines").alias("line")).select(*document, "line.*")
+    removed = lines.join(frequent, line).groupBy(*document).agg(F.sum("size").cast("long").alias("removed"), F.count(F.lit(1)).alias("hits"))
+
+    out = counted.join(removed, document, "left").select(
+        "doc_id",
+        F.col("both.n").alias("n_words"),
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        F.col("both.r").alias("n_repeat_words"),
+        F.coalesce("hits", F.lit(0)).alias("lines_removed"),
+        F.coalesce("removed", F.lit(0)).alias("chars_removed"),
+        "n_chars",
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     depleted = F.col("n_chars") - F.col("chars_removed") < LEFT * F.col("n_chars")

@@ -36,12 +36,8 @@ repeated AS (
 lines AS (SELECT doc_id, host, md5(text) AS t, unnest(string_split(text, chr(10))) AS raw FROM d),
 dup AS (SELECT doc_id, count(raw) - count(DISTINCT raw) AS n FROM lines WHERE trim(raw, {BLANKS}) <> '' GROUP BY doc_id),
 norm AS (SELECT doc_id, host, t, trim(translate(lower(raw), '123456789', '000000000'), {BLANKS}) AS line FROM lines),
-hosts AS (SELECT host, count(DISTINCT text) AS host_texts FROM d GROUP BY host),
-frequent AS (
-  SELECT host, line, min(doc_id) AS first, count(DISTINCT t) AS n FROM norm WHERE line <> '' GROUP BY host, line
-),
-limits AS (SELECT f.* FROM frequent f JOIN hosts USING (host) WHERE f.n >= {op6_rules.LINE_DOCS} AND f.n >= {op6_rules.LINE_SHARE}::DOUBLE * host_texts),
-removed AS (SELECT doc_id, count(*) AS lines_removed, sum(length(line) + 1)::BIGINT AS chars_removed FROM norm JOIN limits USING (host, line) WHERE doc_id <> first GROUP BY doc_id),
+frequent AS (SELECT host, line FROM norm WHERE line <> '' GROUP BY host, line HAVING count(DISTINCT t) >= {op6_rules.LINE_DOCS}),
+removed AS (SELECT doc_id, count(*) AS lines_removed, sum(length(line) + 1)::BIGINT AS chars_removed FROM norm JOIN frequent USING (host, line) GROUP BY doc_id),
 counts AS (
   SELECT d.doc_id, len(w.words)::BIGINT AS n_words, length(translate(d.text, {BLANKS}, ''))::BIGINT AS word_chars,
          length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words,
