@@ -141,7 +141,7 @@ def kind_of(value: Column) -> Column:
         .when(value.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), F.when(F.forall(octets, lambda x: x <= 255), F.lit("address")))
         .when(value.rlike(r"^(?:[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})$"), F.when(day_of(value).isNotNull(), F.lit("date")).when(late_day_of(value).isNotNull(), F.lit("day_first")))
         .when(value.rlike(r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{9})$"), F.when((area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0), F.lit("social")))
-        .when(value.rlike(r"^[0-9]{4}(?:[0-9]{9,15}|[ -][0-9 -]+)$"), F.when(F.regexp_replace(value, "[ -]", "").rlike(ISSUERS) & (luhn_sum(digits_of(value)) % 10 == 0), F.lit("card")))
+        .when(value.rlike(r"^[1-9][0-9]{3}(?:[0-9]{9,15}|[ -][0-9 -]+)$"), F.when(F.regexp_replace(value, "[ -]", "").rlike(ISSUERS) & (luhn_sum(digits_of(value)) % 10 == 0), F.lit("card")))
         .when(value.rlike(r"^[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{1,4})+)$") & (mod97(value) == 1), F.lit("account"))
         .when(value.rlike(r"^(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})$"), F.when(value.rlike("[0-9]") & value.rlike("[A-Fa-f]"), F.lit("secret")))
         .when(value.rlike(f"^(?:AKIA|{PREFIXES})"), F.when(value.rlike("[0-9]"), F.lit("token")))

@@ -244,7 +244,7 @@ def pseudonym_by_hand(v, key):
             return v
         a, b, c = network([area - (2 if area > 666 else 1), group - 1, serial - 1], [898, 99, 9999], "social", key)
         return ("-" if "-" in v else "").join((f"{a + (2 if a >= 665 else 1):03d}", f"{b + 1:02d}", f"{c + 1:04d}"))
-    if re.fullmatch(r"\d{4}(\d{9,15}|[ -][\d -]+)", v):
+    if re.fullmatch(r"[1-9]\d{3}(\d{9,15}|[ -][\d -]+)", v):
         if not (re.match(op.ISSUERS, digits) and luhn(v)):
             return v
         new = moved(digits, letters(digits, 1, {0, 1, 2, 3, len(digits) - 1}), "card", key)
