@@ -5,9 +5,8 @@ Copies share a fingerprint, so the search runs over distinct fingerprints only.
 ``RADIUS`` bits two fingerprints must agree on some choice of bit blocks (pigeonhole), so
 each choice deals the fingerprints into shards; a shard's BK-tree is built and searched where
 the shard lies. A node's children hang on edges keyed by their distance to it, and a search
-follows only edges within the radius of its own distance. Oversized shards are cut into
-blocks, each pair of blocks being one shard more, so no tree grows without bound and no
-pair is lost. A shard reports a link per fingerprint to the least one of its group, not all
+follows only edges within the radius of its own distance. Oversized shards are dealt again by
+further bits, so no tree grows without bound and no pair is lost. A shard reports a link per fingerprint to the least one of its group, not all
 pairs. Links join up by alternating star contractions, each cut off by a table in the shared
 folder.
 
@@ -19,7 +18,8 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -31,31 +31,45 @@ from pyspark.sql import functions as F
 from .shared import UPPER, materialised, modest_batches, slices, text_of
 
 SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
-#: Most fingerprints in a tree; larger shards are searched block by block.
-TREE = 4096
+#: Most fingerprints in a tree, and how often larger shards are dealt again.
+TREE, LEVELS = 4096, 6
+#: Near duplicates by likeness: words a shingle, least Jaccard similarity, bits that BK-trees
+#: follow, shards a text, least hashes that name a shard, most shingles compared in one task.
+WIDTH, SIMILARITY, WIDE, BANDS, MINIMA, PART = 5, 0.8, 24, 10, 3, 1 << 21
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 
-def fingerprint(text: str, width: int = SHINGLE, chunk: int = 1 << 15) -> int:
-    """The 64-bit SimHash of a text, unsigned."""
+def shingle_hashes(text: str, width: int = SHINGLE, chunk: int = 1 << 15) -> Iterator[np.ndarray]:
+    """The XXH64 of each shingle, unsigned, in pieces, so that long documents need bounded memory."""
     from xxhash import xxh64_intdigest
 
     words = text.encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - width + 1)
     last = ends[-1:] if len(words) < width else ends[width - 1 :]
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, chunk):  # long documents in bounded memory
+    for at in range(0, n, chunk):
         spans = zip(starts[at : at + chunk].tolist() if n > 1 else [0], last[at : at + chunk].tolist(), strict=False)
-        hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], dtype=">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64)
+
+
+def majority(pieces: Iterable[np.ndarray]) -> int:
+    """The bits that over half of the hashes have set."""
+    ones, n = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in pieces:
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def fingerprint(text: str, width: int = SHINGLE, chunk: int = 1 << 15) -> int:
+    """The 64-bit SimHash of a text, unsigned."""
+    return majority(shingle_hashes(text, width, chunk))
+
+
 def fingerprints(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed number; hashed: and t, a hash of the text."""
 
@@ -89,17 +103,19 @@ class BKTree:
                 return
             at = edges[at][d]
 
-    def within(self, value: int, radius: int) -> list[int]:
-        """Places of all values at most ``radius`` bits away."""
-        values, edges, found = self.values, self.edges, []
+    def walk(self, value: int, radius: int) -> Iterator[int]:
+        """Places of all values at most ``radius`` bits away, as they are met."""
+        values, edges = self.values, self.edges
         stack = [0] if values else []
         while stack:
             at = stack.pop()
             d = (values[at] ^ value).bit_count()
             if d <= radius:
-                found.append(at)
+                yield at
             stack += [child for edge, child in edges[at].items() if d - radius <= edge <= d + radius]
-        return found
+
+    def within(self, value: int, radius: int) -> list[int]:
+        return list(self.walk(value, radius))
 
 
 class Groups:
@@ -153,24 +169,49 @@ def block_masks(n: int, radius: int = RADIUS) -> list[int]:
     single = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(bounds, bounds[1:], strict=False)]
     masks = [sum(x) for x in combinations(single, agree)]
     assert len(masks) == comb(blocks, agree)
-    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+    return [signed(m) for m in masks]
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
+def finer_masks(mask: int, radius: int) -> list[int]:
+    """Masks with further bits; what agrees on mask and is within the radius agrees on one of them."""
+    free = [k for k in range(BITS) if not mask >> k & 1]
+    blocks = radius + 1
+    bounds = [len(free) * k // blocks for k in range(blocks + 1)]
+    return [signed(mask & (1 << BITS) - 1 | sum(1 << k for k in free[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def links(distinct: DataFrame, n: int, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
     """(a, b), b < a: links that connect what lies within the radius; at most one a shard and member.
 
-    distinct: a column fp of n different values.
+    distinct: a column fp of n different values. A shard of more than ``tree`` fingerprints is dealt
+    again by further bits, block by block of those left, until it is small. Only fingerprints that
+    agree on nearly all bits can stay together through ``LEVELS`` turns; those are searched part
+    against part.
     """
-    keys = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(block_masks(n, radius))])).alias("k")).select("fp", "k.choice", "k.bits")
-    large = materialised(keys.groupBy("choice", "bits").count().where(F.col("count") > tree), "large-shards")
-    if large.isEmpty():
-        dealt = keys.select("choice", "bits", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "fp")
-    else:
-        sized = keys.join(large, ["choice", "bits"], "left").withColumn("blocks", F.coalesce(F.ceil(2 * F.col("count") / tree), F.lit(1)).cast("int"))
-        own = sized.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        dealt = own.select("choice", "bits", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-            "choice", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp"
-        )
+    spark, shard = distinct.sparkSession, ["mask", "bits"]
+    deal = lambda rows, masks: rows.select("fp", F.explode(masks).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
+    keys = deal(distinct, F.array(*[F.lit(m).cast("long") for m in block_masks(n, radius)]))
+    settled: list[DataFrame] = []
+    for level in range(LEVELS + 1):
+        large = materialised(keys.groupBy(*shard).count().where(F.col("count") > tree), "large-shards")
+        masks = [r["mask"] for r in large.select("mask").distinct().collect()]  # at most one a choice of blocks
+        if not masks or level == LEVELS:
+            break
+        settled.append(keys.join(large, shard, "left_anti"))
+        finer = spark.createDataFrame([(m, finer_masks(m, radius)) for m in masks], "mask long, finer array<long>")
+        keys = materialised(deal(keys.join(large, shard, "left_semi").join(F.broadcast(finer), "mask").select("fp", "finer"), F.col("finer")).distinct(), "finer-shards")
+    sized = keys.join(large.withColumnRenamed("count", "size"), shard, "left") if masks else keys.withColumn("size", F.lit(1))
+    sized = sized.withColumn("parts", F.coalesce(F.ceil(2 * F.col("size") / tree), F.lit(1)).cast("int"))
+    own = sized.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    dealt = own.select(*shard, "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
+        *shard, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp"
+    )
+    for small in settled:
+        dealt = dealt.unionByName(small.select(*shard, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "fp"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
@@ -186,7 +227,7 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, tree: int = TREE) -
         found += shard_links(*sides, radius) if len(sides[0]) + len(sides[1]) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    shard = ["choice", "bits", "i", "j"]
+    shard = ["mask", "bits", "i", "j"]
     return dealt.repartition(*shard).sortWithinPartitions(*shard, "side", "fp").mapInArrow(search, "a long, b long").distinct()
 
 
@@ -227,13 +268,154 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
     return own.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id", *(["t"] if hashed else []))
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+# --- by likeness of the shingles ---------------------------------------------------------
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    small, big = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(small):
+        return float(not len(big))
+    at = np.minimum(np.searchsorted(big, small), len(big) - 1)
+    both = int((big[at] == small).sum())
+    return both / (len(a) + len(b) - both)
+
+
+@lru_cache(maxsize=1)
+def _mixers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return draw(BANDS * MINIMA), draw(BANDS * MINIMA), draw(MINIMA)
+
+
+def shard_keys(hashes: np.ndarray, chunk: int = 1 << 12) -> np.ndarray:
+    """The ``BANDS`` shards of a set of shingles, each named by ``MINIMA`` least hashes."""
+    flip, factor, weight = _mixers()
+    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), chunk):
+        np.minimum(least, ((hashes[at : at + chunk, None] ^ flip) * factor).min(axis=0), out=least)
+    return (least.reshape(BANDS, MINIMA) * weight).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, t, fp, s, n, shards): hashes of text and shingle set, fingerprint, size, shards."""
+    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in slices(batches):
+            fp, own, sizes, shards = [], [], [], []
+            for text in batch[2]:
+                pieces = list(shingle_hashes(text.as_py(), width))
+                hashes = np.unique(np.concatenate(pieces)) if pieces else np.empty(0, dtype=np.uint64)
+                fp.append(majority(pieces))
+                own.append(xxh64_intdigest(hashes.tobytes(), SEED))
+                sizes.append(len(hashes))
+                shards.append(shard_keys(hashes))
+            signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+            nested = pa.array([x.tolist() for x in shards], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], signed(fp), signed(own), pa.array(sizes, pa.int64()), nested], ["doc_id", "t", "fp", "s", "n", "shards"])
+
+    modest_batches(docs.sparkSession)
+    schema = StructType([*(StructField(c, LongType()) for c in ("doc_id", "t", "fp", "s", "n")), StructField("shards", ArrayType(LongType()))])
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("t"), text_of(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def set_links(rows: list[tuple[int, int, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
+    """(a, b): links that join all rows (s, fp, set) whose sets are alike, directly or by others.
+
+    Each group so far has a BK-tree of its fingerprints. A row follows the edges within ``WIDE`` bits
+    until a set is alike, so it costs little beside its own copies; groups that it joins become one.
+    """
+    groups: list[tuple[BKTree, list[int]]] = []
+    found = []
+    for i, (s, fp, own) in enumerate(rows):
+        joined, value = [], fp & (1 << BITS) - 1
+        for g, (tree, members) in enumerate(groups):
+            for at in tree.walk(value, WIDE):
+                other, _, hashes = rows[members[at]]
+                if min(len(own), len(hashes)) >= similarity * max(len(own), len(hashes)) and likeness(own, hashes) >= similarity:
+                    found.append((s, other))
+                    joined.append(g)
+                    break
+        joined.sort(key=lambda g: -len(groups[g][1]))
+        tree, members = groups[joined[0]] if joined else (BKTree(), [])
+        for g in joined[1:]:
+            for value_, member in zip(groups[g][0].values, groups[g][1], strict=True):
+                tree.add(value_)
+                members.append(member)
+        tree.add(value)
+        members.append(i)
+        groups = [x for g, x in enumerate(groups) if g not in joined] + [(tree, members)]
+    return found
+
+
+def alike(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
+    """(doc_id, fp, root, t) of every row: rows of one root are joined by links of Jaccard similarity.
+
+    No radius in bits stands for a similarity of 0.8: such pairs lie up to 18 bits apart, where
+    chance pairs begin, and pigeonhole shards for that would hold everything. So the shards here are
+    named by least hashes of the shingles (a pair of 0.8 shares one of them with a probability over
+    0.999), and texts of a shard are of one block. Inside a block, BK-trees follow edges within
+    ``WIDE`` bits, and what they meet is compared exactly, set against set. Blocks of more than
+    ``part`` shingles or ``TREE`` texts are compared part against part.
+    """
+    own = materialised(sketches(docs, width, id_col, text_col), "sketches", compact=True)
+    first = F.min(F.struct(F.isnull("doc_id").alias("k2"), F.coalesce("doc_id", F.lit(0)).alias("k1"), "t", "fp", "n")).alias("f")
+    texts = materialised(own.groupBy("s").agg(first, F.first("shards").alias("shards")).select("s", "f.*", "shards"), "texts")  # of each set one text
+    keys = texts.select("s", F.posexplode("shards").alias("choice", "bits"))
+    least = keys.groupBy("choice", "bits").agg(F.min("s").alias("b"), F.count(F.lit(1)).alias("held")).where("held > 1").select("choice", "bits", "b")
+    tree = components(keys.join(least, ["choice", "bits"]).select(F.col("s").alias("a"), "b").where("a <> b"))
+    blocked = materialised(texts.drop("shards").join(tree.withColumnRenamed("node", "s"), "s", "left").withColumn("block", F.coalesce("root", "s")).drop("root"), "blocks")
+    blocks = blocked.groupBy("block").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("size")).where("members > 1")
+    parts = F.ceil(2 * F.greatest(F.col("size") / part, F.col("members") / TREE)).cast("int")
+    chosen = blocked.join(blocks.select("block", F.when((F.col("size") > part) | (F.col("members") > TREE), parts).otherwise(1).alias("parts")), "block")
+    chosen = chosen.withColumn("own", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int")).select("k1", "k2", "t", "s", "fp", "block", "parts", "own")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = []
+            for text in batch.column("text"):
+                pieces = list(shingle_hashes(text.as_py(), width))
+                found.append(np.unique(np.concatenate(pieces)).tobytes() if pieces else b"")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "parts", "own", "s", "fp")), pa.array(found, pa.binary())], ["block", "parts", "own", "s", "fp", "hashes"])
+
+    key = ["k1", "k2", "t"]
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k1"), F.isnull(F.col(id_col).cast("long")).alias("k2"), F.xxhash64(text_of(text_col)).alias("t"), text_of(text_col).alias("text"))
+    sized = rows.join(chosen, key).select("text", "block", "parts", "own", "s", "fp").mapInArrow(sets, "block long, parts int, own int, s long, fp long, hashes binary")
+    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "s", "fp", "hashes"
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def links_of() -> pa.RecordBatch:
+            found = set_links(rows, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for *shard, s, fp, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != now:
+                    yield links_of()
+                    now, rows = shard, []
+                if not rows or rows[-1][0] != s:  # a row may come twice
+                    rows.append((s, fp, np.frombuffer(hashes, dtype=np.uint64)))
+        yield links_of()
+
+    shard = ["block", "i", "j"]
+    groups = components(dealt.repartition(*shard).sortWithinPartitions(*shard, "s").mapInArrow(compare, "a long, b long"))
+    return own.join(groups.withColumnRenamed("node", "s"), "s", "left").select("doc_id", "fp", F.coalesce("root", "s").alias("root"), "t")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """The rows of docs without near duplicates: of each component the row with the least id stays.
 
-    Rows without an id come last; of equal ids the least fingerprint stays, then the least hash
+    With a similarity, components are those of ``alike`` and the radius plays no part. Rows without an id come last; of equal ids the least fingerprint stays, then the least hash
     of the text. Whatever the ids, a component keeps exactly one row.
     """
-    found = near_duplicates(docs, radius, width, id_col, text_col, hashed=True)
+    found = near_duplicates(docs, radius, width, id_col, text_col, hashed=True) if similarity is None else alike(docs, similarity, width, id_col, text_col)
     least = F.min(F.struct(F.isnull("doc_id").alias("k2"), F.coalesce("doc_id", F.lit(0)).alias("k1"), "fp", "t")).alias("least")
     stays = found.groupBy("root").agg(least).select("least.k1", "least.k2", "least.t")
     key = ["k1", "k2", "t"]
