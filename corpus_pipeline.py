@@ -3,6 +3,12 @@
 Toxic documents go; lines that many documents share go; of near duplicates one stays; personal
 numbers become pseudonyms; what is left is packed. Each stage works on all that its predecessor
 kept and is written as Parquet before the next one reads it.
+
+Edge cases: a null or empty text is not toxic, keeps its one empty line, is alike only to other
+texts without words (one of them stays), stays null or empty, and packs as its end token; a null
+``doc_id`` is kept and comes last where one of several stays; repeated rows are near duplicates;
+an empty table gives an empty result; further columns pass all stages but the last, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -17,8 +23,9 @@ from spindle.llm.shared import materialised, read_table
 def _with_text(found: DataFrame, docs: DataFrame, text: str, changed: str) -> DataFrame:
     """The columns of docs, with text and n_chars renewed in rows where a count says so."""
     new = F.col(changed) > 0
-    renewed = {"text": F.when(new, F.col(text)).otherwise(F.col("row.text")), "n_chars": F.when(new, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}
-    return found.select(*[renewed.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    row = F.col("row")
+    renewed = {"text": F.when(new, F.col(text)).otherwise(row["text"]), "n_chars": F.when(new, F.length(text).cast("long")).otherwise(row["n_chars"])}
+    return found.select(*[renewed[c].alias(c) if c in renewed else row[c].alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +38,8 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op10_simhash.one_of_each(docs)
+    """Of texts whose five-word shingles are alike to 0.8 or more, directly or by others, one stays."""
+    return op10_simhash.one_of_each(docs, width=op10_simhash.WIDTH, similarity=op10_simhash.SIMILARITY)
 
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
