@@ -67,8 +67,8 @@ def parent_dir(path: Column) -> Column:
 
 
 def shard_index(name: Column) -> Column:
-    """the number between a name's six first and four last characters, -1 where there is none."""
-    return F.coalesce(F.regexp_extract(name, r"(?s)^.{6}([+-]?\d{1,18}).{4}$", 1).try_cast("long"), F.lit(-1).cast("long"))
+    """the number between a name's six first and four last characters, -1 where there is none of 64 bits."""
+    return F.coalesce(F.regexp_extract(name, r"(?s)^.{6}([+-]?\d+).{4}$", 1).try_cast("long"), F.lit(-1).cast("long"))
 
 
 def shard_name(index: Column) -> Column:
@@ -123,29 +123,36 @@ def sft_response(output: Column) -> Column:
 
 # --- worked arithmetic texts (T18 to T21) ---------------------------------------------
 
+#: Ways of writing an operator; fixed values.
+SIGNS = {"\\times": "*", "×": "*", "\\div": "/", "÷": "/", "−": "-"}
 #: Substrings and patterns that a worked text must not hold; fixed values.
 BANNED = ("('+'", "('-'", "('×'", "('*'", "('/'")
 DOUBLED = (r"Step \d+: Step \d+:", r"Step \d+: \d+\.")
 
 
+#: Lines, boxes, fractions and phrasings of worked texts; fixed values.
+ANSWER, PROBLEM, BOXED, FRACTION = r"(?m)^Answer:\s*(.+?)\s*$", r"(?m)^Problem:\s*(.+?)$", r"^\\boxed\{(.+)\}\s*$", r"\\frac\{(-?\d+)\}\{(-?\d+)\}"
+LEADS, PHRASING = (r"^Compute\s+", r"^>>> solve\(", r"^>>>\s*"), (r"^Solve\s+", r"\s*for x\.?\s*$")
+
+
 def declared_answer(text: Column) -> Column:
     """What the Answer line says, unboxed, fractions as a/b; null without such a line."""
-    found = F.regexp_extract(text, r"(?m)^Answer:\s*(.+?)\s*$", 1)
-    inner = F.trim(F.when(found.rlike(r"^\\boxed\{.+\}\s*$"), F.regexp_extract(found, r"^\\boxed\{(.+)\}\s*$", 1)).otherwise(found))
-    return F.nullif(F.trim(F.regexp_replace(inner, r"\\frac\{(-?\d+)\}\{(-?\d+)\}", "$1/$2")), F.lit(""))
+    found = F.regexp_extract(text, ANSWER, 1)
+    inner = F.trim(F.when(found.rlike(BOXED), F.regexp_extract(found, BOXED, 1)).otherwise(found))
+    return F.nullif(F.trim(F.regexp_replace(inner, FRACTION, "$1/$2")), F.lit(""))
 
 
 def problem_line(text: Column) -> Column:
     """T18"""
-    return F.nullif(F.trim(F.regexp_extract(text, r"(?m)^Problem:\s*(.+?)$", 1)), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(text, PROBLEM, 1)), F.lit(""))
 
 
 def bare_problem(p: Column) -> Column:
     """A problem without its phrasing."""
-    for pattern in (r"^Compute\s+", r"^>>> solve\(", r"^>>>\s*"):
+    for pattern in LEADS:
         p = F.regexp_replace(p, pattern, "")
     p = F.replace(F.replace(p, F.lit("\\("), F.lit("")), F.lit("\\)"), F.lit(""))
-    for pattern in (r"^Solve\s+", r"\s*for x\.?\s*$"):
+    for pattern in PHRASING:
         p = F.regexp_replace(p, pattern, "")
     opens, closes = (F.length(p) - F.length(F.replace(p, F.lit(c), F.lit(""))) for c in "()")
     p = F.when(opens < closes, F.rtrim(p, F.lit(")"))).otherwise(p)
@@ -162,19 +169,41 @@ def text_gate(text: Column) -> Column:
     return ok
 
 
+def without_rest(a: Column, b: Column) -> Column:
+    """a / b of whole decimals where nothing is left over; a quotient alone keeps but 32 digits.
+
+    The upper half of a is divided first, what it leaves goes before the lower half.
+    """
+    number = lambda x: x.cast("decimal(38,0)")
+    less = lambda x: F.try_subtract(number(F.lit(0)), x)  # noqa: E731  (abs and minus round to 34 digits)
+    half, m, d = number(F.lit("1" + "0" * 19)), F.when(a < 0, less(a)).otherwise(a), F.when(b < 0, less(b)).otherwise(b)
+    low = F.try_mod(m, half)
+    high = number(F.try_divide(F.try_subtract(m, low), half))
+    left = F.try_mod(high, d)
+    upper = F.try_multiply(number(F.try_divide(F.try_subtract(high, left), d)), half)
+    lower = number(F.try_divide(F.try_add(F.try_multiply(left, half), low), d))
+    q = F.when(d < half, F.try_add(upper, lower)).otherwise(number(F.try_divide(m, d)))
+    return F.when((a < 0) != (b < 0), less(q)).otherwise(q)
+
+
 def evaluated(problem: Column) -> Column:
-    """The value of 'a op b', or null; division is floored and names its remainder."""
-    shape = r"^(-?\d{1,15})\s*([+\-*/])\s*(-?\d{1,9})$"
-    p = F.replace(F.replace(F.replace(problem, F.lit("×"), F.lit("*")), F.lit("÷"), F.lit("/")), F.lit("−"), F.lit("-"))
-    a, op, b = (F.regexp_extract(p, shape, k) for k in (1, 2, 3))
-    a, b = a.try_cast("long"), b.try_cast("long")
-    q = F.floor(F.try_divide(a.cast("decimal(30,0)"), b.cast("decimal(30,0)"))).cast("long")
-    r = a - q * b
+    """The value of 'a op b', or null; division is floored and names its remainder.
+
+    Operands and values may have 38 digits, all that a Spark number holds; beyond that it is null.
+    """
+    for sign, plain in SIGNS.items():
+        problem = F.replace(problem, F.lit(sign), F.lit(plain))
+    a, op, b = (F.regexp_extract(problem, r"^(-?\d+)\s*([+\-*/])\s*(-?\d+)$", k) for k in (1, 2, 3))
+    a, b = a.try_cast("decimal(38,0)"), b.try_cast("decimal(38,0)")
+    text = lambda x: x.cast("decimal(38,0)").cast("string")
+    cut = F.try_mod(a, b)
+    r = cut + F.when((cut != 0) & (F.signum(cut) != F.signum(b)), b).otherwise(0)
+    q = without_rest(F.try_subtract(a, r), b)
     return (
-        F.when(op == "+", (a + b).cast("string"))
-        .when(op == "-", (a - b).cast("string"))
-        .when(op == "*", (a * b).cast("string"))
-        .when((op == "/") & (b != 0), F.when(r == 0, q.cast("string")).otherwise(F.concat(q.cast("string"), F.lit(" remainder "), r.cast("string"))))
+        F.when(op == "+", text(F.try_add(a, b)))
+        .when(op == "-", text(F.try_subtract(a, b)))
+        .when(op == "*", text(F.try_multiply(a, b)))
+        .when(op == "/", F.when(r == 0, text(q)).otherwise(F.concat(text(q), F.lit(" remainder "), text(r))))
     )
 
 

@@ -23,6 +23,24 @@ def running_before(df: DataFrame, keys: list[str], order: list[str | Column], va
     return own.join(sums, [*keys, "__bucket"]).withColumn(name, F.col("__ahead") + F.col("__own")).drop("__bucket", "__value", "__own", "__ahead")
 
 
+def at_rank(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], pieces: int = 64) -> DataFrame:
+    """sorted[min(n - 1, int(q * n))] of each group, exactly and without gathering it.
+
+    Equal values are counted first; running counts over the different values give the ranks. Those
+    are summed in ``pieces`` of about equal size, whose bounds are approximate percentiles.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__k"))
+    bounds = counts.groupBy(*keys).agg(F.percentile_approx(value, [(i + 1) / pieces for i in range(pieces - 1)], 10 * pieces).alias("__bounds"), F.sum("__k").alias("__n"))
+    placed = counts.join(bounds, keys)
+    piece = F.size(F.filter("__bounds", lambda x: x < F.col(value)))
+    ranked = running_before(placed, keys, [value], F.col("__k"), piece, "__before")
+    picks = []
+    for name, q in quantiles.items():
+        rank = F.least(F.col("__n") - 1, (F.lit(q).cast("double") * F.col("__n")).cast("long"))
+        picks.append(F.min(F.when(F.col("__before") + F.col("__k") > rank, F.col(value))).alias(name))
+    return ranked.groupBy(*keys).agg(*picks)
+
+
 def within_budget(df: DataFrame, keys: list[str], order: str, value: str, budget: Column, width: int = 3) -> DataFrame:
     """Rows taken while the sum before them is under the budget; the crossing row is in.
 
@@ -78,9 +96,12 @@ def sample(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
     return df.withColumn("__o", seeded_order(seed, *key)).orderBy("__o").limit(n).drop("__o")
 
 
-def byte_budget_lines(lines: DataFrame, keys: list[str], file_order: str, line_no: str, size: Column, budget: Column) -> DataFrame:
-    """Lines of a group in file order until the bytes before them reach the budget."""
-    return running_before(lines, keys, [file_order, line_no], size, F.col(file_order)).where(F.col("before") < budget)
+def byte_budget_lines(lines: DataFrame, keys: list[str], file_order: str, line_no: str, size: Column, budget: Column, width: int = 3) -> DataFrame:
+    """Lines of a group in file order until the bytes before them reach the budget.
+
+    file_order: a column of hex digests, whose first digits are the buckets.
+    """
+    return running_before(lines, keys, [file_order, line_no], size, F.substring(file_order, 1, width)).where(F.col("before") < budget)
 
 
 def cut_with_reset(df: DataFrame, domain: str, position: str, size: str, target: int) -> DataFrame:

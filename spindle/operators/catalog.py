@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .budget import cut_with_reset
+from .budget import at_rank, cut_with_reset
+from .corpus import numbered
 
 WIDTH = 2  # bytes of a token id in the default shard type
 
@@ -56,13 +57,12 @@ def classified(sources: DataFrame, manifest: DataFrame, keys: list[str], strict:
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], position: str = "pos") -> DataFrame:
     """New rows over old ones by key; old places stay, fresh keys go to the end."""
     values = [c for c in old.columns if c not in keys and c != position]
-    o = old.select(*keys, F.col(position).alias("__op"), F.struct(*values).alias("__o"))
     n = new.select(*keys, F.col(position).alias("__np"), F.struct(*values).alias("__n"))
+    kept = old.join(n.drop("__np"), keys, "left").select(*keys, F.col(position).cast("long").alias(position), F.coalesce("__n", F.struct(*values)).alias("v"))
     last = old.agg(F.coalesce(F.max(position), F.lit(-1)).alias("__last"))  # one row
-    both = o.join(n, keys, "full").crossJoin(F.broadcast(last))
-    fresh = F.row_number().over(Window.partitionBy(F.col("__op").isNull()).orderBy("__np"))
-    place = F.coalesce(F.col("__op"), F.col("__last") + fresh).cast("long")
-    return both.select(*keys, place.alias(position), F.coalesce("__n", "__o").alias("v")).select(*keys, position, "v.*")
+    fresh = numbered(n.join(old.select(*keys), keys, "left_anti").withColumn("__all", F.lit(0)), ["__all"], "__np").crossJoin(F.broadcast(last))
+    fresh = fresh.select(*keys, (F.col("__last") + 1 + F.col("nr")).cast("long").alias(position), F.col("__n").alias("v"))
+    return kept.unionByName(fresh).select(*keys, position, "v.*")
 
 
 def merge_plan(shards: DataFrame, target: int, width: int = WIDTH, first_index: int = 0, emerged: DataFrame | None = None) -> DataFrame:
@@ -124,7 +124,6 @@ def incremental_plan(merged: DataFrame, shards: DataFrame, target: int, width: i
 
     Raises ValueError when the catalogue diverges. Shards of a domain come by their index.
     """
-    merged = merged.persist()  # a manifest: a row a merged shard
     problems = divergences(merged, shards).limit(5).collect()
     if problems:
         raise ValueError("cannot extend: " + "; ".join(f"{p.problem} {p.merged_shard or ''} {p.shard or ''}" for p in problems))
@@ -137,7 +136,11 @@ def incremental_plan(merged: DataFrame, shards: DataFrame, target: int, width: i
 
 
 def fingerprint(shards: DataFrame, target: int) -> DataFrame:
-    """Sixteen hex digits over the target and the inputs in order; equal inputs need no merge."""
+    """Sixteen hex digits over the target and the inputs in order; equal inputs need no merge.
+
+    The digest is one over all entries, so they meet in one row: some 150 bytes an entry, so that
+    the 2 GB of a row are reached at about 14 million entries, beyond which it raises.
+    """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     piece = F.concat(F.lit("|"), text("source"), F.lit("|"), text("source_size"), F.lit("|"), text("source_hash"), F.lit("|"), text("tokens"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("t")))), lambda x: x["t"])
@@ -146,16 +149,11 @@ def fingerprint(shards: DataFrame, target: int) -> DataFrame:
 
 def plan_sizes(plan: DataFrame, width: int = WIDTH) -> DataFrame:
     """A10: for each domain the merged shards' least, upper median and greatest size."""
-    sizes = plan.groupBy("domain", "merged_index").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("k"))
-    return sizes.groupBy("domain").agg(
-        F.count(F.lit(1)).alias("shards"), F.sum("t").alias("tokens"), F.sum("k").alias("sources"),
-        F.min(F.col("t") * width).alias("min_bytes"), upper_median(F.col("t") * width).alias("p50_bytes"), F.max(F.col("t") * width).alias("max_bytes"),
-    )
-
-
-def upper_median(x: Column) -> Column:
-    """sorted[n // 2] of a small group."""
-    return F.element_at(F.sort_array(F.collect_list(x)), (F.floor(F.count(x) / 2) + 1).cast("int"))
+    sizes = plan.groupBy("domain", "merged_index").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("k"), (F.sum("tokens") * width).alias("bytes"))
+    sums = sizes.groupBy("domain").agg(
+        F.count(F.lit(1)).alias("shards"), F.sum("t").alias("tokens"), F.sum("k").alias("sources"), F.min("bytes").alias("min_bytes"), F.max("bytes").alias("max_bytes")
+    )
+    return sums.join(at_rank(sizes, ["domain"], "bytes", {"p50_bytes": 0.5}), "domain")
 
 
 def offsets(plan: DataFrame, width: int = WIDTH) -> DataFrame:

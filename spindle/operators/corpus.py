@@ -80,10 +80,13 @@ def first_of_each(df: DataFrame, keys: list[str | Column], order: list[str | Col
 def numbered(df: DataFrame, keys: list[str], position: str, block: int = 4096, name: str = "nr") -> DataFrame:
     """Rows of a group numbered from 0 by an integer position.
 
-    Positions are cut into blocks; a block's count gives the next one's first number. A group of
-    any size so spreads over many tasks.
+    Positions are cut into as many equal blocks as the group has times ``block`` rows, however
+    sparse they are; a block's count gives the next one's first number. A group of any size so
+    spreads over many tasks, and its blocks are few.
     """
-    cut = df.withColumn("__block", F.floor(F.col(position) / block))
+    p = F.col(position)
+    spans = df.groupBy(*keys).agg(F.min(p).alias("__least"), (F.max(p) - F.min(p) + 1).alias("__span"), F.ceil(F.count(F.lit(1)) / block).alias("__blocks"))
+    cut = df.join(spans, keys).withColumn("__block", F.floor((p - F.col("__least")) / F.col("__span") * F.col("__blocks"))).drop("__least", "__span", "__blocks")
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     first = cut.groupBy(*keys, "__block").count().select(*keys, "__block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
     within = F.row_number().over(Window.partitionBy(*keys, "__block").orderBy(position))

@@ -6,23 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .catalog import upper_median
-
-
-def at_rank(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], divide: bool = False) -> DataFrame:
-    """sorted[min(n - 1, int(q * n))] of each group, exactly and without gathering it.
-
-    Equal values are counted first; running counts over the different values give the ranks.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__k"))
-    upto = F.sum("__k").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("__k").over(Window.partitionBy(*keys))
-    ranked = counts.withColumns({"__to": upto, "__n": total})
-    picks = []
-    for name, q in quantiles.items():
-        rank = F.least(F.col("__n") - 1, (F.lit(q).cast("double") * F.col("__n")).cast("long"))
-        picks.append(F.min(F.when(F.col("__to") > rank, F.col(value))).alias(name))
-    return ranked.groupBy(*keys).agg(*picks)
+from .budget import at_rank
 
 
 def length_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -86,11 +70,36 @@ def greatest_place(long: DataFrame) -> DataFrame:
     return long.agg(F.max(F.struct(F.abs("x").alias("v"), (-F.col("t")).alias("t"), (-F.col("h")).alias("h"))).alias("m")).select((-F.col("m.t")).alias("t"), (-F.col("m.h")).alias("h"), F.col("m.v").alias("value"))
 
 
-def bands(positions: DataFrame, early: int = 8, mid: int = 128) -> DataFrame:
-    """Mean ratios of early, middle and late positions, and whether early ones lead."""
+def bands(positions: DataFrame, early: int = 8, mid: int = 128, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Mean ratios of early, middle and late positions."""
     t, r = F.col("t"), F.col("ratio_global")
-    m = positions.agg(F.avg(F.when(t < early, r)).alias("early"), F.avg(F.when((t >= early) & (t < mid), r)).alias("mid"), F.avg(F.when(t >= mid, r)).alias("late"))
-    return m.withColumn("early_leads", F.coalesce(F.col("early") > 1.3 * F.col("late"), F.lit(False)))
+    means = {"early": F.avg(F.when(t < early, r)), "mid": F.avg(F.when((t >= early) & (t < mid), r)), "late": F.avg(F.when(t >= mid, r))}
+    return positions.groupBy(*keys).agg(*[v.alias(k) for k, v in means.items()])
+
+
+def block_places(long: DataFrame, early: int = 8, mid: int = 128) -> DataFrame:
+    """For each tensor its bands, where its greatest magnitude lies and the channel of most energy."""
+    x = F.col("x")
+    whole = long.groupBy("name").agg(F.sqrt(F.avg(x * x)).alias("__g"), F.max(F.struct(F.abs("x").alias("v"), (-F.col("t")).alias("t"), (-F.col("h")).alias("h"))).alias("__m"))
+    at = long.groupBy("name", "t").agg(F.max(F.abs("x")).alias("m")).join(whole.select("name", "__g"), "name")
+    by = bands(at.withColumn("ratio_global", F.col("m") / (F.col("__g") + 1e-8)), early, mid, ("name",))
+    channels = long.groupBy("name", "h").agg(F.avg(x * x).alias("e")).groupBy("name").agg(F.max(F.struct("e", (-F.col("h")).alias("h"))).alias("c"), F.sum("e").alias("s"))
+    places = whole.select("name", (-F.col("__m.t")).alias("max_position"), (-F.col("__m.h")).alias("max_channel"), F.col("__m.v").alias("max_value"))
+    return places.join(by, "name").join(channels.select("name", (-F.col("c.h")).alias("channel"), (F.col("c.e") / F.col("s")).alias("channel_share")), "name")
+
+
+def outlier_verdict(blocks: DataFrame, early: int = 8) -> DataFrame:
+    """Whether early positions carry the outliers, and whether one channel does.
+
+    blocks: a row a block, as block_places gives them. Of equally frequent channels the one that
+    the first block by name has counts.
+    """
+    n, first = F.count(F.lit(1)), F.max(F.struct("k", F.col("__first").alias("f"), "channel"))
+    sums = blocks.agg(n.alias("blocks"), F.avg((F.col("max_position") < early).cast("double")).alias("early_fraction"), F.avg("early").alias("early"), F.avg("late").alias("late"))
+    order = blocks.withColumn("__nr", -F.row_number().over(Window.orderBy("name")))  # one row a block of a model
+    top = order.groupBy("channel").agg(n.alias("k"), F.max("__nr").alias("__first")).agg(first.alias("top")).select(F.col("top.channel").alias("top_channel"), F.col("top.k").alias("top_blocks"))
+    leads = (F.col("early_fraction") >= 0.5) & F.coalesce(F.col("early") > 1.3 * F.col("late"), F.lit(False))
+    return sums.crossJoin(F.broadcast(top)).withColumns({"early_leads": leads, "fixed_channel": F.col("top_blocks") >= 0.5 * F.col("blocks")})
 
 
 def block_trend(stats: DataFrame, value: str = "max_over_rms") -> DataFrame:
@@ -136,8 +145,8 @@ def perplexity(df: DataFrame, keys: list[str], loss: str) -> DataFrame:
 
 
 def medians(df: DataFrame, category: str, value: str) -> DataFrame:
-    """The upper median of each category of a small table."""
-    return df.groupBy(category).agg(upper_median(F.col(value)).alias("median"))
+    """The upper median of each category."""
+    return at_rank(df, [category], value, {"median": 0.5})
 
 
 def window_means(df: DataFrame, keys: list[str], index: str, value: str, n: int = 64) -> DataFrame:
@@ -146,8 +155,11 @@ def window_means(df: DataFrame, keys: list[str], index: str, value: str, n: int
 
 
 def repetition(text: Column, n: int) -> Column:
-    """The share of n-grams of words that are repeats; 0 for fewer than n words."""
-    grams = F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.array_join(F.slice("__w", i, n), " "))
+    """The share of n-grams of words that are repeats; 0 for fewer than n words.
+
+    n-grams are compared by 64-bit hashes of their words.
+    """
+    grams = F.transform(F.sequence(F.lit(0), F.size("__w") - n), lambda i: F.xxhash64(*[F.get("__w", i + k) for k in range(n)]))
     return F.when(F.size("__w") < n, F.lit(0.0)).otherwise((F.size("__w") - n + 1 - F.size(F.array_distinct(grams))) / (F.size("__w") - n + 1))
 
 

@@ -95,12 +95,37 @@ def greatest_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.greatest_place(_long(spark, sf_dir)).select("t", "h", F.round("value", 6).alias("value"))
 
 
-@book.query(f"""SELECT round(e, 5) AS early, round(m, 5) AS mid, round(l, 5) AS late, e > 1.3::DOUBLE * l AS early_leads FROM (
- SELECT avg(ratio_global) FILTER (WHERE t < 8) AS e, avg(ratio_global) FILTER (WHERE t >= 8 AND t < 128) AS m, avg(ratio_global) FILTER (WHERE t >= 128) AS l FROM {POSITIONS})""")
+BANDS = "avg(ratio) FILTER (WHERE t < 8) AS early, avg(ratio) FILTER (WHERE t >= 8 AND t < 128) AS mid, avg(ratio) FILTER (WHERE t >= 128) AS late"
+
+
+@book.query(f"SELECT round(early, 5) AS early, round(mid, 5) AS mid, round(late, 5) AS late FROM (SELECT {BANDS.replace('ratio', 'ratio_global')} FROM {POSITIONS})")
 def tensor_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A20, T31"""
+    """A20"""
     b = metrics.bands(metrics.by_position(_long(spark, sf_dir)))
-    return b.select(*[F.round(c, 5).alias(c) for c in ("early", "mid", "late")], "early_leads")
+    return b.select(*[F.round(c, 5).alias(c) for c in ("early", "mid", "late")])
+
+
+BLOCKS = f"""(SELECT * FROM
+ (SELECT name, arg_max(t, (abs(x), -t, -h)) AS max_position, arg_max(h, (abs(x), -t, -h)) AS max_channel, max(abs(x)) AS max_value FROM {LONG} GROUP BY name)
+ JOIN (SELECT name, {BANDS} FROM (SELECT name, t, max(abs(x)) / (any_value(g) + 1e-8::DOUBLE) AS ratio FROM {LONG} JOIN (SELECT name, sqrt(avg(x * x)) AS g FROM {LONG} GROUP BY name) USING (name) GROUP BY name, t) GROUP BY name) USING (name)
+ JOIN (SELECT name, arg_max(h, (e, -h)) AS channel, max(e) / sum(e) AS channel_share FROM (SELECT name, h, avg(x * x) AS e FROM {LONG} GROUP BY name, h) GROUP BY name) USING (name))"""
+
+
+@book.query(f"SELECT name, max_position, max_channel, round(max_value, 6) AS max_value, round(early, 5) AS early, round(mid, 5) AS mid, round(late, 5) AS late, channel, round(channel_share, 6) AS channel_share FROM {BLOCKS}", longs=("max_channel", "channel"))
+def block_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a block."""
+    b = metrics.block_places(_long(spark, sf_dir))
+    return b.select("name", "max_position", "max_channel", F.round("max_value", 6).alias("max_value"), *[F.round(c, 5).alias(c) for c in ("early", "mid", "late")], "channel", F.round("channel_share", 6).alias("channel_share"))
+
+
+@book.query(f"""
+WITH b AS {BLOCKS}, s AS (SELECT count(*) AS blocks, avg((max_position < 8)::INT) AS early_fraction, avg(early) AS early, avg(late) AS late FROM b),
+ c AS (SELECT channel AS top_channel, count(*) AS top_blocks FROM b GROUP BY channel ORDER BY count(*) DESC, min(name) LIMIT 1)
+SELECT blocks, early_fraction, round(early, 5) AS early, round(late, 5) AS late, top_channel, top_blocks, early_fraction >= 0.5 AND early > 1.3::DOUBLE * late AS early_leads, top_blocks >= 0.5 * blocks AS fixed_channel FROM s, c""", longs=("top_channel",))
+def outlier_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict over all blocks."""
+    v = metrics.outlier_verdict(metrics.block_places(_long(spark, sf_dir)))
+    return v.withColumns({c: F.round(c, 5) for c in ("early", "late")})
 
 
 @book.query(f"SELECT name, round(avg(abs(x)), 6) AS mean_abs, round(stddev_pop(abs(x)), 6) AS std_abs, round(stddev_samp(x), 6) AS std FROM {LONG} GROUP BY name")

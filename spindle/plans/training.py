@@ -278,10 +278,10 @@ def sft_tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("pos", "prefix_len", F.size("input_ids").alias("n_ids"), tokens.ends_well(F.col("input_ids"), 0, tokens.SPECIALS.index("<|im_end|>")).alias("ends_well"))
 
 
-@book.query("SELECT doc_id, len(list_filter(range(least(n_chars, 64)), lambda i: i >= 16)) AS kept, least(n_chars, 16) AS masked FROM documents", longs=("kept", "masked"))
+@book.query("SELECT doc_id, greatest(length(text) - 16, 0) AS kept, least(length(text), 16) AS masked FROM documents WHERE text <> ''", longs=("kept", "masked"))
 def masked_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W16"""
-    masked = _code_points(spark, sf_dir).select("doc_id", tokens.masked_targets(F.slice("ids", 1, 64), F.lit(16)).alias("y"))
+    """Over whole texts."""
+    masked = _code_points(spark, sf_dir).select("doc_id", tokens.masked_targets(F.col("ids"), F.lit(16)).alias("y"))
     return masked.select("doc_id", F.size(F.filter("y", lambda v: v != -100)).alias("kept"), F.size(F.filter("y", lambda v: v == -100)).alias("masked"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import catalog
@@ -26,27 +28,33 @@ def ingest(spark: SparkSession, path: str, schema: str, out: str, checkpoint: st
 def retokenize(spark: SparkSession, path: str, schema: str, manifest_path: str, checkpoint: str, entries: Transform, keys: list[str]) -> None:
     """In each batch new and changed sources are turned into entries and upserted.
 
-    A manifest version is a folder; a reader takes the last whole one (N3: none is rewritten).
+    A manifest version is a folder; a reader takes the last whole one (N3: none is rewritten). A
+    batch that is tried again starts from the version below its own and writes its own anew.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        old = latest(spark, manifest_path)
+        old = latest(spark, manifest_path, below=number)
         fresh = df if old is None else catalog.classified(df, old, keys).where("action <> 'skip'").drop("action")
         new = entries(fresh)
         whole = new if old is None else catalog.upserted(old, new.select(*old.columns), keys)
-        whole.write.mode("overwrite").parquet(f"{manifest_path}/version={number:08d}")
+        _store(whole, f"{manifest_path}/version={number:08d}")
 
     stream = spark.readStream.schema(schema).parquet(path)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def latest(spark: SparkSession, manifest_path: str) -> DataFrame | None:
-    """The last whole version of a manifest table."""
+def _store(version: DataFrame, path: str) -> None:
+    version.write.mode("overwrite").parquet(path)
+
+
+def latest(spark: SparkSession, manifest_path: str, below: int | None = None) -> DataFrame | None:
+    """The last whole version of a manifest table; below: of those with a lower number."""
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(manifest_path)
     fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(fs_path):
         return None
     versions = sorted(str(s.getPath()) for s in fs.listStatus(fs_path) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+    versions = [v for v in versions if below is None or int(v.rpartition("=")[2]) < below]
     return spark.read.parquet(versions[-1]) if versions else None
 
 
@@ -77,13 +85,13 @@ def assembled(arrivals: DataFrame, needed: str = "parts") -> DataFrame:
 
 
 def run_state(spark: SparkSession, path: str) -> dict:
-    """Step, bag of seen shards and evaluation history of the last whole checkpoint table."""
+    """Step, bag of seen shards and evaluation history of the last whole checkpoint table.
+
+    Of the last checkpoint only step and bag are read, of the others step and loss.
+    """
     table = latest(spark, path)
-    if table is None:
+    last = None if table is None else table.agg(F.max("step").alias("step"), F.max_by("seen_shards", "step").alias("seen")).first()
+    if last is None or last.step is None:
         return {"step": 0, "seen": {}, "history": []}
-    rows = table.collect()  # a row a checkpoint: metadata
-    last = max(rows, key=lambda r: r.step)
-    seen: dict[str, int] = {}
-    for shard in last.seen_shards:
-        seen[shard] = seen.get(shard, 0) + 1
-    return {"step": last.step, "seen": seen, "history": sorted((r.step, r.loss) for r in rows if r.loss is not None)}
+    history = table.where("loss IS NOT NULL").select("step", "loss").orderBy("step", "loss").collect()  # an evaluation a row
+    return {"step": last.step, "seen": dict(Counter(last.seen or [])), "history": [tuple(r) for r in history]}

@@ -124,6 +124,32 @@ def test_retokenize_only_what_changed(spark, tmp_path):
     assert [(r.pos, r.source, r.tokens) for r in rows] == [(0, "a", 10), (1, "b", 14), (2, "c", 2)]
 
 
+def test_a_batch_that_dies_after_its_write_is_tried_again(spark, tmp_path, monkeypatch):
+    src, manifest, check = (str(tmp_path / n) for n in ("in", "manifest", "check"))
+    schema = "pos long, domain string, source string, source_size long, source_hash string"
+    entries = lambda df: df.withColumn("tokens", F.col("source_size") * 2)
+    read, dies = incremental.latest, []
+
+    def once_more(df, path):
+        df.write.mode("overwrite").parquet(path)
+        if dies:
+            dies.pop()
+            raise RuntimeError("lost after the write")
+
+    monkeypatch.setattr(incremental, "_store", once_more)
+    spark.createDataFrame([(0, "d", "a", 5, "h"), (1, "d", "b", 6, "h")], schema).write.parquet(src)
+    incremental.retokenize(spark, src, schema, manifest, check, entries, ["domain", "source"])
+    for size, extra in ((7, 2), (8, 3)):
+        rows = [(1, "d", "b", size, "h"), (extra, "d", f"x{extra}", 1, "h")]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        dies.append(1)
+        with pytest.raises(Exception, match="lost after the write"):
+            incremental.retokenize(spark, src, schema, manifest, check, entries, ["domain", "source"])
+        incremental.retokenize(spark, src, schema, manifest, check, entries, ["domain", "source"])
+        found = {r.source: r.tokens for r in read(spark, manifest).collect()}
+        assert found["a"] == 10 and found["b"] == 2 * size and found[f"x{extra}"] == 2
+
+
 def test_shards_are_emitted_once_whole(spark, tmp_path):
     src = str(tmp_path / "in")
     schema = "merged_shard string, place long, tokens long, parts long"

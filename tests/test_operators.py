@@ -1,6 +1,8 @@
 """Edge cases of the operators, after FIXTURES.md §3 and §4."""
 
 import math
+import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +53,20 @@ def test_worked_texts(spark):
     assert column(spark, gates, T.text_gate) == [True, False, False, False, True]
 
 
+def test_arithmetic_of_any_length(spark):
+    rng = random.Random(35)
+    cases = {"8 \\div 3": "2 remainder 2", "-8 \\div 3": "-3 remainder 1", "6 \\times -7": "-42", "0 / -5": "0", "5 ÷ 0": None, f"{10**37} * 100": None}
+    for _ in range(200):
+        a, b = (rng.choice([-1, 1]) * rng.randrange(10 ** rng.randrange(1, 19)) for _ in range(2))
+        cases[f"{a} + {b}"], cases[f"{a} - {b}"], cases[f"{a}*{b}"] = str(a + b), str(a - b), str(a * b)
+        a = a * 10**18 + rng.randrange(10**18)
+        if b:
+            q, r = divmod(a, b)
+            cases[f"{a}/{b}"] = f"{q} remainder {r}" if r else str(q)
+    assert column(spark, list(cases), T.evaluated) == list(cases.values())
+    assert column(spark, [f"shard_{7:025d}.bin", f"shard_{10**25}.bin"], T.shard_index) == [7, -1]
+
+
 def test_judge_json(spark):
     answers = ['```json\n{"a": 3, "b": 9}\n```', '{"a": 5}', "nonsense", '```\n{"a": 0, "b": 1}```']
     assert [tuple(r) for r in column(spark, answers, lambda x: T.judge_scores(x, "a", "b"))] == [(3, None), (5, None), (None, None), (None, 1)]
@@ -92,6 +108,13 @@ def test_numbering_a_large_group(spark):
     assert values(got.where("nr * 7 - 30000 <> p"), "p") == [] and got.count() == 10_000
 
 
+def test_numbering_sparse_positions(spark):
+    df = spark.range(3000).select((F.col("id") * F.col("id") * 1_000_003).alias("p"), F.pmod("id", F.lit(3)).alias("g"))
+    got = corpus.numbered(df, ["g"], "p", block=100).select("g", "p", "nr").collect()
+    for g in range(3):
+        assert [r.nr for r in sorted((r for r in got if r.g == g), key=lambda r: r.p)] == list(range(1000))
+
+
 def test_first_of_equal_rows(spark):
     df = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b"), (5, "b")], "pos int, k string")
     assert sorted(values(corpus.first_of_each(df, ["k"], ["pos"]), "pos")) == [1, 2]
@@ -100,23 +123,37 @@ def test_first_of_equal_rows(spark):
 # --- greedy cuts --------------------------------------------------------------------
 
 
-def plan(spark, names):
-    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "pos int, shard string")
-
-
-@pytest.mark.parametrize(
-    ("passes", "seen", "left"), [("abc", "ac", "b"), ("wwww", "ww", "ww"), ("wwww", "wwww", ""), ("wwww", "w", "www"), ("abcd", "ab", "cd"), ("aba", "a", "ba"), ("ab", "", "ab"), ("ab", "abab", "")]
-)
-def test_seen_is_a_bag(spark, passes, seen, left):
-    bag = spark.createDataFrame([(s,) for s in seen], "shard string")
-    got = budget.minus_seen(plan(spark, passes), bag).orderBy("pos")
-    assert "".join(values(got, "shard")) == left
-
-
-@pytest.mark.parametrize(("n", "size", "need", "taken"), [(100, 50, 260, 6), (3, 50, 1000, 3), (4, 50, 200, 4), (4, 50, 150, 3), (4, 50, 0, 0)])
-def test_trim(spark, n, size, need, taken):
-    df = spark.range(n).select(F.lit(size).alias("tokens"), T.seeded_order(1, "id").alias("o"))
-    assert budget.trimmed(df, "o", "tokens", need).count() == taken
+def test_seen_passes_go_from_random_plans(spark):
+    """Many plans at once, each with a bag of seen passes, against counting by hand."""
+    rng = random.Random(31)
+    rows, bags, expected = [], [], Counter()
+    for case in range(60):
+        names = [f"c{case}-{rng.randrange(6)}" for _ in range(rng.randrange(15))]
+        seen = [f"c{case}-{rng.randrange(7)}" for _ in range(rng.randrange(12))]
+        rows += [(1000 * case + 7 * at, name) for at, name in enumerate(names)]
+        bags += [(name,) for name in seen]
+        still = Counter(seen)
+        for at, name in enumerate(names):
+            if still[name]:
+                still[name] -= 1
+            else:
+                expected[1000 * case + 7 * at, name] += 1
+    got = budget.minus_seen(spark.createDataFrame(rows, "pos int, shard string"), spark.createDataFrame(bags, "shard string"))
+    assert Counter(values(got, "pos", "shard")) == expected
+
+
+def test_trims_of_random_tables(spark):
+    rng = random.Random(32)
+    for _ in range(6):
+        sizes = [rng.randrange(1, 40) for _ in range(rng.randrange(1, 60))]
+        wanted = rng.choice([0, 1, sum(sizes) // 2, sum(sizes), sum(sizes) + 5])
+        df = spark.createDataFrame(list(enumerate(sizes)), "id int, tokens int").withColumn("o", T.seeded_order(3, "id"))
+        total, taken = 0, []
+        for r in df.orderBy("o").collect():
+            if total < wanted:
+                taken.append(r.id)
+                total += r.tokens
+        assert sorted(values(budget.trimmed(df, "o", "tokens", wanted), "id")) == sorted(taken)
 
 
 def test_need():
@@ -348,11 +385,37 @@ def test_index_percentiles(spark):
     assert got == {"a": (5, 9, 9, 9, 4.5), "b": (7, 7, 7, 7, 7.0)}
 
 
-@pytest.mark.parametrize("w", [1, 3, 7, 17, 63, 64])
-def test_short_windows_are_scaled(spark, w):
-    df = spark.range(w).select(F.lit("s").alias("s"), F.col("id").alias("i"), (0.5 * F.col("id") + 1).alias("g"))
-    got = metrics.window_means(df, ["s"], "i", "g").first()
-    assert got["mean"] == pytest.approx(sum(0.5 * i + 1 for i in range(w)) / w) and got.present == w
+def test_window_means_of_random_lengths(spark):
+    rng = random.Random(33)
+    rows = [(g, i, rng.uniform(-5, 5)) for g in range(12) for i in range(rng.randrange(1, 200))]
+    got = {(r.g, r.window): (r["mean"], r.present) for r in metrics.window_means(spark.createDataFrame(rows, "g int, i int, x double"), ["g"], "i", "x", 50).collect()}
+    own = defaultdict(list)
+    for g, i, x in rows:
+        own[g, i // 50].append(x)
+    assert got == {k: (pytest.approx(sum(v) / len(v)), len(v)) for k, v in own.items()}
+
+
+def test_ranks_of_random_groups(spark):
+    rng = random.Random(34)
+    rows = [(g, v) for g in range(6) for v in [rng.choice([rng.expovariate(0.01), rng.randrange(4), float("inf"), -1e300]) for _ in range(rng.randrange(1, 900))]]
+    wanted = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p999": 0.999, "p100": 1.0}
+    got = {r.g: r for r in budget.at_rank(spark.createDataFrame([(g, float(v)) for g, v in rows], "g int, v double"), ["g"], "v", wanted).collect()}
+    for g in range(6):
+        own = sorted(v for k, v in rows if k == g)
+        assert [got[g][name] for name in wanted] == [own[min(len(own) - 1, int(q * len(own)))] for q in wanted.values()]
+
+
+def test_outlier_verdict(spark):
+    """Three blocks: two with their greatest value early and in one channel, one late."""
+    rows = [(f"block_{b:02d}", t, h, 1.0) for b in range(3) for t in range(140) for h in range(4)]
+    spikes = {("block_00", 2, 1): 90.0, ("block_01", 5, 1): -80.0, ("block_02", 135, 3): 70.0}
+    long = spark.createDataFrame([(n, t, h, spikes.get((n, t, h), x)) for n, t, h, x in rows], "name string, t int, h int, x double")
+    places = {r.name: r for r in metrics.block_places(long).collect()}
+    assert [(places[n].max_position, places[n].max_channel, places[n].max_value, places[n].channel) for n in sorted(places)] == [(2, 1, 90, 1), (5, 1, 80, 1), (135, 3, 70, 3)]
+    v = metrics.outlier_verdict(metrics.block_places(long)).first()
+    assert (v.blocks, v.early_fraction, v.top_channel, v.top_blocks, v.early_leads, v.fixed_channel) == (3, pytest.approx(2 / 3), 1, 2, True, True)
+    late = metrics.outlier_verdict(metrics.block_places(long.where("name = 'block_02'"))).first()
+    assert (late.early_fraction, late.early_leads, late.fixed_channel) == (0, False, True)
 
 
 def test_constant_tensors(spark):
