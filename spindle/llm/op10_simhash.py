@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import UPPER, materialised, modest_batches, slices, text_of
+from .shared import UPPER, discard, materialised, modest_batches, scratch_path, slices, text_of
 
 SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
 #: Most fingerprints in a tree, and how often larger shards are dealt again.
@@ -240,15 +240,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def least(e: DataFrame) -> DataFrame:
         return e.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
 
-    edges = materialised(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
-    print_ = None
+    spark = edges.sparkSession
+    place, print_ = scratch_path(spark, "edges"), None
+    edges = materialised(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges", path=place)
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.join(least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a > b").distinct()
         mins = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(mins, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = materialised(small.where("a > b").distinct(), "edges")
+        old, place = place, scratch_path(spark, "edges")
+        edges = materialised(small.where("a > b").distinct(), "edges", path=place)
+        discard(spark, old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == print_:
             break

@@ -1,16 +1,19 @@
 """Line de-duplication over levelled sorted runs of line hashes.
 
-A store keeps, per line key, in how many documents it was seen. It is a set of runs, each
-sorted by hash and dealt by hash, in levels. A batch of documents is counted, anti-joined by
-merge against the keys that the runs already know to be over the limit (nothing more need be
-known of those), and written as a run of level 0; when a level holds ``fanout`` runs they are
-merged into one run of the next. So a key is rewritten once a level, not once a batch, and
-old batches are never read again. When all batches are in, lines of keys over the limit go
-from all documents.
+A store keeps, per line key, in how many documents it was seen. It is a set of runs in levels.
+A run is a table bucketed and sorted by the two hashes of the key, so runs meet batches by
+merging, without moving or sorting again what is stored. A batch of documents is
+counted, anti-joined by merge against the keys that the runs already know to be over the limit
+(nothing more need be known of those), and written as a run of level 0; when a level holds
+``fanout`` runs they are merged into one run of the next. So a key is rewritten once a level, not
+once a batch, and old batches are never read again. When all batches are in, lines of keys over
+the limit go from all documents.
 
 A key is the line stripped of ASCII white space at both ends, A-Z lowered, and is held as two
-64-bit hashes. Keys are distinct within a document before they are counted, counts are summed
-before the shuffle, and texts move once, to meet the short list of keys to drop.
+64-bit hashes. Texts are read twice: once for the hashes of their keys, which lie in the shared
+folder by batch, and once to meet the keys to drop. Keys are distinct within a document before
+they are counted, and counts are summed before the shuffle. What a text loses depends on the text
+alone, so texts, not ids, are joined: rows without an id or of one id are no hot key.
 
 Edge cases: a null or empty text is one empty line, which stays; a null ``doc_id`` is kept;
 each row counts as a document, repeated ones too; an empty table gives an empty result;
@@ -30,10 +33,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import BLANKS, UPPER, materialised, modest_batches, scratch_path, slices, text_of, texts_of
+from .shared import BLANKS, UPPER, materialised, modest_batches, scratch_path, setting, shuffle_width, slices, text_of, texts_of
 
 MIN_DOCS, BATCHES, FANOUT = 10, 4, 3
-HASHES = ["h1", "h2"]
+HASHES, TEXT = ["h1", "h2"], ["t1", "t2"]
+#: A bucket of one file is read as sorted where this is set.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_keys(text: Column) -> Column:
@@ -67,50 +72,73 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT, place: str | None = None) -> None:
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.place = place or scratch_path(spark, "line-runs")
+        self.place, self.buckets = place or scratch_path(spark, "line-runs"), shuffle_width(spark)
         self.levels: dict[int, list[str]] = defaultdict(list)
         self.written = 0
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n long").parquet(*paths)
+    def _read(self, runs: list[str]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.spark.table(r) for r in runs])
+
+    def _summed(self, runs: list[str]) -> DataFrame:
+        """The counts of several runs. Their buckets are dealt anew: a union of bucketed scans that
+        claims their partitioning may lose it again when scans are re-planned, and would not sum."""
+        dealt = self._read(runs).repartition(self.buckets, F.col("h1"))
+        return dealt.groupBy(*HASHES).agg(F.sum("n").alias("n"))
 
     def _write(self, counts: DataFrame, level: int) -> None:
-        path = f"{self.place}/level={level}-{self.written}"
+        """A run: each task holds one bucket whole, so a bucket is one sorted file."""
+        name = f"lines_{self.place.rsplit('-', 1)[-1]}_{level}_{self.written}"
         self.written += 1
-        counts.sortWithinPartitions(*HASHES).write.parquet(path)
-        self.levels[level].append(path)
+        dealt = counts.repartition(self.buckets, *HASHES).sortWithinPartitions(*HASHES)
+        with setting(self.spark, ORDERED, "true"):
+            dealt.write.format("parquet").bucketBy(self.buckets, *HASHES).sortBy(*HASHES).option("path", f"{self.place}/{name}").saveAsTable(name)
+        self.levels[level].append(name)
 
     def add(self, docs: DataFrame) -> None:
         """Count a batch; docs has a column text."""
-        new = exploded(docs).groupBy(*HASHES).agg(F.count(F.lit(1)).alias("n"))
-        if paths := self.paths():
-            known = self._read(paths).where(F.col("n") >= self.min_docs).select(*HASHES)
-            new = new.join(known.hint("merge"), HASHES, "left_anti")
-        self._write(new, 0)
+        self.add_keys(exploded(docs))
+
+    def add_keys(self, keys: DataFrame) -> None:
+        """Count a batch of hashed keys, each once a document."""
+        self._write(self.fresh(keys), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self._merge(level)
             level += 1
 
+    def fresh(self, keys: DataFrame) -> DataFrame:
+        """The counts of a batch's keys that no run knows to be over the limit."""
+        new = keys.groupBy(*HASHES).agg(F.count(F.lit(1)).alias("n"))
+        for run in self.paths():
+            new = new.join(self._read([run]).where(F.col("n") >= self.min_docs).select(*HASHES).hint("merge"), HASHES, "left_anti")
+        return new
+
     def paths(self) -> list[str]:
         return [p for level in sorted(self.levels) for p in self.levels[level]]
 
     def _merge(self, level: int) -> None:
-        merged = self._read(self.levels[level]).groupBy(*HASHES).agg(F.sum("n").alias("n"))
-        self.levels[level] = []
+        merged = self._summed(self.levels[level])
+        old, self.levels[level] = self.levels[level], []
         self._write(merged, level + 1)
+        for run in old:
+            self.spark.sql(f"DROP TABLE {run}")
 
     def frequent(self) -> DataFrame:
         """Hashes of the keys that at least min_docs documents hold."""
-        return self._read(self.paths()).groupBy(*HASHES).agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_docs).select(*HASHES)
+        return self._summed(self.paths()).where(F.col("n") >= self.min_docs).select(*HASHES)
+
+
+def text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.hash(text).alias("t2")]
+
 
+def drop_lines(docs: DataFrame, keys: DataFrame, frequent: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row, n_lines, n_dropped): the input row as a struct, its text without frequent lines.
 
-def drop_lines(docs: DataFrame, frequent: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, n_lines, n_dropped): the input row as a struct, its text without frequent lines."""
-    k1, k2 = F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k1"), F.isnull(id_col).alias("k2")
-    hits = exploded(docs.select(k1, k2, text_of(text_col).alias("text")), "k1", "k2").join(frequent, HASHES, "left_semi")
-    hits = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct(*HASHES)).alias("drop"))
-    inner = docs.select(F.struct("*").alias("row"), k1, k2).join(hits, ["k1", "k2"], "left").select("row", "drop")
+    keys: (t1, t2, h1, h2), the keys of each text; frequent: (h1, h2).
+    """
+    hits = keys.join(frequent, HASHES, "left_semi").groupBy(*TEXT).agg(F.collect_set(F.struct(*HASHES)).alias("drop"))
+    inner = docs.select(F.struct("*").alias("row"), *text_key(text_of(text_col))).join(hits, TEXT, "left").select("row", "drop")
     modest_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,11 +163,13 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, id_col: str = "doc_id", tex
 def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents through the store, batch after batch, then without their frequent lines."""
     runs = LineRuns(docs.sparkSession, min_docs, fanout)
-    dealt = docs.select(text_of(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)).alias("batch"))
+    batch = F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)).cast("int").alias("batch")
+    dealt = docs.select(text_of(text_col).alias("text"), batch).select("text", "batch", *text_key(F.col("text")))
+    keys = materialised(exploded(dealt, "batch", *TEXT), "line-keys", by=["batch"])
     for k in range(batches):
-        runs.add(dealt.where(F.col("batch") == k))
+        runs.add_keys(keys.where(F.col("batch") == k))
     # as a table: a join with it can be split where a line is hot, or Spark broadcasts it by its size
-    return drop_lines(docs, materialised(runs.frequent(), "frequent-lines"), id_col, text_col)
+    return drop_lines(docs, keys, materialised(runs.frequent(), "frequent-lines"), text_col)
 
 
 def sha256(text: str | None) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,38 +21,74 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, one machine) a folder of our own is set.
+    Only where it is unset and all runs on one machine (tests) a folder of our own is set.
     """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: driver and executors need a folder that they share")
         place = tempfile.mkdtemp(prefix="spindle-")
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver's process ends."""
+    place = f"{shared_dir(spark)}/spindle-{spark.sparkContext.applicationId}"
+    if place not in _USED:
+        _USED.add(place)
+        atexit.register(_forget, spark, place)
+    return place
+
+
+_USED: set[str] = set()
+
+
+def _forget(spark: SparkSession, place: str) -> None:
+    with contextlib.suppress(Exception):  # the session's JVM may be gone
+        discard(spark, place)
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared folder, in this application's own part of it."""
-    return f"{shared_dir(spark)}/spindle-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def materialised(df: DataFrame, what: str, compact: bool = False) -> DataFrame:
+def materialised(df: DataFrame, what: str, compact: bool = False, by: list[str] | None = None, path: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The lineage ends there: a lost executor costs the tasks that were running, not the
     work before the table. compact: for rows of a few numbers that were made from long texts;
     they are rebalanced, so that the table has files of a fair size and not one a scan task.
+    by: columns whose values have a folder each; path: where, if not at a fresh place.
     """
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, what)
-    (df.hint("rebalance") if compact else df).write.parquet(path)
+    spark, path = df.sparkSession, path or scratch_path(df.sparkSession, what)
+    (df.hint("rebalance") if compact else df).write.partitionBy(*by or []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Remove all scratch tables of this application; call it when results are stored."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spindle-{spark.sparkContext.applicationId}")
+def discard(spark: SparkSession, place: str) -> None:
+    """Remove a scratch table that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of this application at once; call it when results are stored."""
+    discard(spark, own_dir(spark))
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the jobs inside, put back afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

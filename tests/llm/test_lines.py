@@ -55,3 +55,33 @@ def test_both_hash_functions_agree(spark):
     lines = ["A b", " \tÉcole ", "x\x0b", "ſ", "1"]
     df = spark.createDataFrame([("\n".join(lines),)], "text string")
     assert {tuple(r) for r in op.exploded(df).collect()} == {op.python_hashes(x.encode()) for x in lines}
+
+
+def test_runs_meet_a_batch_without_moving_or_sorting_them(spark):
+    runs = op.LineRuns(spark, min_docs=2, fanout=3)
+    for k in range(2):
+        runs.add(spark.createDataFrame([(f"hot\nline {k}\n{x}",) for x in range(40)], "text string"))
+    with op.setting(spark, op.ORDERED, "true"), op.setting(spark, "spark.sql.adaptive.enabled", "false"):
+        fresh = runs.fresh(op.exploded(spark.createDataFrame([("hot\nnew",)], "text string")))
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Bucketed: true") == 2 and plan.count("SortMergeJoin") == 2
+        # only the batch itself moves, once to be counted, and is sorted
+        assert plan.count("Exchange") == 1 and plan.count("Sort [") <= 2
+        assert {r.h1 for r in fresh.collect()} == {op.python_hashes(b"new")[0]}
+    assert {r.h1 for r in runs.fresh(op.exploded(spark.createDataFrame([("hot\nnew",)], "text string"))).collect()} == {op.python_hashes(b"new")[0]}
+
+
+def test_rows_without_an_id(spark):
+    rows = [(None, f"shared\nown {k % 50}", "en", "a", 1) for k in range(300)]
+    got = op.deduplicated(documents(spark, rows), min_docs=10).collect()
+    assert Counter((r["row"]["doc_id"], r["n_lines"], r["n_dropped"], op.sha256(r["row"]["text"])) for r in got) == Counter(by_hand([r[:2] for r in rows], 10))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from spindle.llm import shared
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
