@@ -12,7 +12,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("corpus", "catalogue", "training", "metrics")
+MODULES = ("corpus", "catalogue", "training", "metrics", "files")
 
 
 class Book:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tarfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -19,6 +21,20 @@ from ..functions import text as T
 DTYPES = {"uint8": 1, "int8": 1, "uint16": 2, "int16": 2, "uint32": 4, "int32": 4}
 
 
+def file_system(place: str) -> tuple[fs.FileSystem, str]:
+    """The Arrow file system of a path as Spark writes it (local, hdfs, s3, gs), and the path within."""
+    if place.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + place.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(place) if ":" in place.split("/")[0] else (fs.LocalFileSystem(), place)
+
+
+def read_range(place: str, start: int, size: int) -> bytes:
+    """Some bytes of a file, without the rest of it."""
+    system, inner = file_system(place)
+    with system.open_input_file(inner) as f:
+        return f.read_at(size, start)
+
+
 def scan(spark: SparkSession, path: str, kind: str = "parquet", where: str | None = None, schema: str | None = None) -> DataFrame:
     """A dataset; where selects its partitions (configuration, language, split)."""
     reader = spark.read.option("ignoreMissingFiles", "true")
@@ -76,21 +92,20 @@ def manifest_faults(spark: SparkSession, path: str) -> DataFrame:
 def token_shards(spark: SparkSession, path: str, dtype: str = "uint16", max_tokens: int | None = None) -> DataFrame:
     """(shard, ids, aligned) of binary shards; with max_tokens the first ids only, null where there are fewer.
 
-    Spark's scan passes over files without bytes, so an empty shard has no row.
+    The listing comes without content; a task opens each of its files and reads only the bytes it
+    needs. Spark's scan passes over files without bytes, so an empty shard has no row.
     """
     width = DTYPES[dtype]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch["name"].to_pylist(), batch["content"], strict=True):
-                raw = content.as_py()
-                ids = np.frombuffer(raw[: len(raw) // width * width], dtype=f"<{np.dtype(dtype).str[1:]}").astype(np.int64)
-                short = max_tokens is not None and len(ids) < max_tokens
-                own = None if short else ids[:max_tokens].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([own], pa.list_(pa.int64())), pa.array([len(raw) % width == 0])], ["shard", "ids", "aligned"])
+            for name, place, size in zip(*(batch[c].to_pylist() for c in ("name", "path", "length")), strict=True):
+                n = size // width if max_tokens is None else max_tokens
+                own = None if n > size // width else np.frombuffer(read_range(place, 0, n * width), dtype=f"<{np.dtype(dtype).str[1:]}").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([own], pa.list_(pa.int64())), pa.array([size % width == 0])], ["shard", "ids", "aligned"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
-    return files.select(T.basename(F.col("path")).alias("name"), "content").mapInArrow(run, "shard string, ids array<long>, aligned boolean")
+    return files.select(T.basename(F.col("path")).alias("name"), "path", "length").mapInArrow(run, "shard string, ids array<long>, aligned boolean")
 
 
 class _ShardWriter(DataSourceWriter):
@@ -98,21 +113,22 @@ class _ShardWriter(DataSourceWriter):
         self.path, self.dtype = options["path"], np.dtype(options.get("dtype", "uint16")).newbyteorder("<")
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
+        system, folder = file_system(self.path)
+        system.create_dir(folder, recursive=True)
         top = np.iinfo(self.dtype).max
         for row in rows:
             ids = np.asarray(row.ids, dtype=np.int64)
             if len(ids) and (ids.max() > top or ids.min() < 0):
                 raise ValueError(f"{row.shard}: ids don't fit {self.dtype}")
-            part = os.path.join(self.path, f".{row.shard}.part")
-            with open(part, "wb") as f:
+            part = f"{folder}/.{row.shard}.{uuid.uuid4().hex}.part"
+            with system.open_output_stream(part) as f:
                 f.write(ids.astype(self.dtype).tobytes())
-            os.replace(part, os.path.join(self.path, row.shard))  # whole or not at all
+            system.move(part, f"{folder}/{row.shard}")  # whole or not at all
         return WriterCommitMessage()
 
 
 class TokenShardSink(DataSource):
-    """K2: writes rows (shard, ids) as flat little-endian files on a file system that all tasks share."""
+    """K2: writes rows (shard, ids) as flat little-endian files on a file system that all tasks share, local or remote."""
 
     @classmethod
     def name(cls) -> str:
@@ -143,7 +159,8 @@ class _TarReader(DataSourceReader):
                     if self.now is None:
                         if not self.left:
                             break
-                        self.now = open(self.left.pop(0), "rb")  # noqa: SIM115
+                        system, inner = file_system(self.left.pop(0))
+                        self.now = system.open_input_stream(inner)
                     piece = self.now.read(n - len(out))
                     if not piece:
                         self.now.close()
@@ -184,16 +201,15 @@ def edge_hashes(spark: SparkSession, path: str, edge: int = 1 << 20) -> DataFram
         import hashlib
 
         for batch in batches:
-            for name, content in zip(batch["name"].to_pylist(), batch["content"], strict=True):
-                raw = content.as_py()
-                h = hashlib.sha256(raw[:edge])
-                if len(raw) > 2 * edge:
-                    h.update(raw[-edge:])
-                h.update(len(raw).to_bytes(8, "little"))
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(raw)]), pa.array([h.hexdigest()])], ["name", "size", "hash"])
+            for name, place, size in zip(*(batch[c].to_pylist() for c in ("name", "path", "length")), strict=True):
+                h = hashlib.sha256(read_range(place, 0, min(edge, size)))
+                if size > 2 * edge:
+                    h.update(read_range(place, size - edge, edge))
+                h.update(size.to_bytes(8, "little"))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size]), pa.array([h.hexdigest()])], ["name", "size", "hash"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(T.basename(F.col("path")).alias("name"), "content").mapInArrow(run, "name string, size long, hash string")
+    return files.select(T.basename(F.col("path")).alias("name"), "path", "length").mapInArrow(run, "name string, size long, hash string")
 
 
 def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:
@@ -231,3 +247,8 @@ def markdown_table(rows: DataFrame, most: int = 50) -> str:
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|")
     head = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     return "\n".join(head + ["| " + " | ".join(map(cell, r)) + " |" for r in rows.limit(most).collect()])
+
+
+def markdown_report(title: str, sections: dict[str, DataFrame], most: int = 50) -> str:
+    """K6: a report of several small tables under their headings."""
+    return "\n\n".join([f"# {title}", *(f"## {name}\n\n{markdown_table(rows, most)}" for name, rows in sections.items())]) + "\n"

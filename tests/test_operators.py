@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindle.functions import text as T
-from spindle.operators import budget, catalog, corpus, metrics, sft, tokens
+from spindle.operators import budget, catalog, corpus, gates, metrics, sft, tokens
 
 
 def values(df, *names):
@@ -258,6 +258,36 @@ def test_manifest_faults_and_gate(spark):
     catalog.gate(found.where("check = 'misaligned'"))
 
 
+def test_merge_runs(spark):
+    s = inputs(spark, [(f"shard_{i:05d}.bin", "xy"[i % 2], 3 + i) for i in range(9)]).withColumns({"source_size": F.lit(5), "source_hash": F.lit("h")})
+    disk = s.select(F.col("shard").alias("name"))
+    first = s.where("pos < 6")
+    action, plan, state = gates.merge_run(first, "id", 20, disk)
+    done = catalog.merged_entries(plan)
+    assert action == "rebuild" and plan.count() == 6 and state["merge_target_bytes"] == 20
+    assert gates.merge_run(first, "id", 20, disk, done, state) == ("nothing", None, state)
+    action, plan, new = gates.merge_run(s, "id", 20, disk.where("name >= 'shard_00006'"), done, state)  # what is merged needn't be there
+    assert action == "extend" and sorted(values(plan, "pos")) == [6, 7, 8] and new["merge_fingerprint"] != state["merge_fingerprint"]
+    assert gates.merge_run(s, "id", 20, disk, done, state, dry_run=True)[::2] == ("dry extend", state)
+    for more, problem in (({"identity": "other"}, "tokenization_id mismatch"), ({"target": 30}, "merge_target_bytes mismatch"), ({"listing": disk.where("name < 'shard_00007'")}, "not on disk: shard_00007.bin, shard_00008.bin")):
+        with pytest.raises(ValueError, match=problem):
+            gates.merge_run(**{"shards": s, "identity": "id", "target": 20, "listing": disk, "merged": done, "state": state} | more)
+    assert gates.merge_run(s, "other", 30, disk, done, state, rebuild=True)[0] == "rebuild"
+
+
+def test_id_ranges(spark):
+    for n, last, faults in ((256, 255, []), (3, 256, ["max_id"]), (257, 256, ["vocab_size", "max_id"])):
+        ids = spark.range(n - 1).select("id").unionAll(spark.createDataFrame([(last,)], "id long"))
+        assert values(gates.id_range_faults(ids, "uint8"), "fault") == faults
+
+
+def test_meta_that_agrees_has_no_fault(spark):
+    s = spark.createDataFrame([("a", 3), ("b", 4)], "shard string, tokens long")
+    m = catalog.meta(s, 10, 0, 1, "t", "uint16", "id")
+    assert gates.meta_faults(s, m, "id", "id").count() == 0
+    assert sorted(values(gates.meta_faults(s.limit(1), m, None, "other"), "fault")) == ["manifest identity", "meta identity", "num_shards", "num_tokens"]
+
+
 def test_identity():
     catalog.same_identity("a", "a")
     for ids in (("a", "b"), ("a", None)):
