@@ -63,8 +63,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 30) -> np.ndarray:
-    """Weights, intercept last, by Newton steps; the intercept is not shrunk."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 100) -> np.ndarray:
+    """Weights, intercept last, by Newton steps that are halved until the loss falls; the intercept is not shrunk."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     share = (y.sum() + 0.5) / (len(y) + 1)
@@ -73,12 +73,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 30
         return w
     shrink = np.full(len(w), ridge)
     shrink[-1] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * (shrink * w * w).sum())
+
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink)
-        move = np.linalg.solve(h, x.T @ (y - p) - shrink * w)
-        w += move * min(1.0, 5 / max(np.abs(move).max(), 1e-12))
-        if np.abs(move).max() < 1e-4:
+        p, now = sigmoid(x @ w), loss(w)
+        slope = x.T @ (y - p) - shrink * w
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink), slope)
+        part = 1.0
+        while part > 1e-9 and loss(w + part * move) > now - 1e-4 * part * float(slope @ move):
+            part /= 2
+        w += part * move
+        if np.abs(part * move).max() < 1e-4:
             break
     return w
 
