@@ -1,11 +1,13 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line; a long line counts in blocks of ``BLOCK`` characters. Its digest (with how many
+A paragraph is a line; a long line counts in blocks that end where a clause ends (after ``BLOCK``
+characters, at the latest after ``MOST``), so a change in a line leaves its other blocks alone. Its digest (with how many
 equal ones came before, so that repeats are told apart) goes into three cells of the sketch,
 each a count, a sum of digests and a sum of check values. Sketches of two versions subtract cell
 by cell; cells with a count of one are peeled off, which uncovers more, until all differing
 digests are known. Where peeling gets stuck both versions are sketched again in a larger table.
-The number of differing digests gives a likeness between 0 and 1 (shared over all).
+The number of differing digests gives a likeness between 0 and 1 (shared over all). Fingerprints that
+were kept can be compared later without the texts: ``compare`` reads and subtracts them.
 
 To meet the next document in descending order of ids, documents are dealt into ranges of ids
 and sorted there; the first document of a range is copied to the range above, and the first of
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +33,9 @@ from pyspark.sql import functions as F
 
 from .shared import modest_batches, shuffle_width, text_of
 
-#: Cells of the stored sketch (a multiple of three) and characters in a block of a long line.
-CELLS, BLOCK = 18, 120
+#: Cells of the stored sketch (a multiple of three), and least and most characters in a block of a long line.
+CELLS, BLOCK, MOST = 18, 80, 240
+_BLOCKS = re.compile(f".{{{BLOCK},{MOST}}}?(?:[.!?,;:] |$)|.{{1,{MOST}}}")
 #: Cells for each digest of the two versions on the first retry; growth on later ones.
 ROOM, GROWTH = 1.6, 2
 U = np.uint64
@@ -51,7 +55,7 @@ def paragraphs(text: str) -> list[str]:
         if len(line) <= BLOCK:
             out.append(line)
         else:
-            out += (line[i : i + BLOCK] for i in range(0, len(line), BLOCK))
+            out += _BLOCKS.findall(line)
     return out
 
 
@@ -71,9 +75,10 @@ def digests(text: str) -> np.ndarray:
 class Sketch:
     """An invertible Bloom lookup table of 64-bit keys."""
 
-    __slots__ = ("checks", "counts", "keys")
+    __slots__ = ("checks", "counts", "keys", "mask")
 
-    def __init__(self, cells: int = CELLS) -> None:
+    def __init__(self, cells: int = CELLS, mask: int = 0xFFFFFFFFFFFFFFFF) -> None:
+        self.mask = U(mask)  # the bits of check values that are kept
         self.counts, self.keys, self.checks = np.zeros(cells, dtype=np.int64), np.zeros(cells, dtype=U), np.zeros(cells, dtype=U)
 
     @classmethod
@@ -94,10 +99,11 @@ class Sketch:
         np.add.at(self.counts, at, np.tile(times, 3))
         np.add.at(self.keys, at, np.tile(keys * signed, 3))
         np.add.at(self.checks, at, np.tile(mixed * signed, 3))
+        self.checks &= self.mask
 
     def minus(self, other: Sketch) -> Sketch:
-        out = Sketch(len(self.counts))
-        out.counts, out.keys, out.checks = self.counts - other.counts, self.keys - other.keys, self.checks - other.checks
+        out = Sketch(len(self.counts), int(self.mask & other.mask))
+        out.counts, out.keys, out.checks = self.counts - other.counts, self.keys - other.keys, (self.checks - other.checks) & out.mask
         return out
 
     def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
@@ -108,7 +114,7 @@ class Sketch:
             sign = self.counts[one]
             times = sign.astype(U)
             keys = self.keys[one] * times
-            pure = mix(keys) * times == self.checks[one]
+            pure = (mix(keys) * times & self.mask) == self.checks[one]
             keys, first = np.unique(keys[pure], return_index=True)
             if not len(keys):
                 return None
@@ -119,6 +125,16 @@ class Sketch:
         none = np.zeros(0, dtype=U)
         return np.concatenate([none, *left]), np.concatenate([none, *right])
 
+    @classmethod
+    def parse(cls, text: str) -> Sketch:
+        """A stored sketch; of its check values the lower 32 bits are kept."""
+        raw = base64.b64decode(text)
+        out = cls(len(raw) // 16, 0xFFFFFFFF)
+        n = len(out.counts)
+        out.counts = np.frombuffer(raw, "<i4", n).astype(np.int64)
+        out.keys, out.checks = np.frombuffer(raw, "<u8", n, 4 * n).astype(U), np.frombuffer(raw, "<u4", n, 12 * n).astype(U)
+        return out
+
     def text(self) -> str:
         raw = self.counts.astype("<i4").tobytes() + self.keys.astype("<u8").tobytes() + self.checks.astype("<u4").tobytes()
         return base64.b64encode(raw).decode()
@@ -141,6 +157,12 @@ def likeness(a: np.ndarray, b: np.ndarray, own: tuple[Sketch, Sketch] | None = N
     return (len(a) + len(b) - apart) / (len(a) + len(b) + apart)
 
 
+def compare(a: str, b: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """The digests only in the text of fingerprint a and only in that of b, or None where they differ in
+    too many for the stored cells (from about a dozen on), so that the texts have to be sketched again."""
+    return Sketch.parse(a).minus(Sketch.parse(b)).peel()
+
+
 def edited(text: str, following: str) -> str:
     """The text whose last half (rounded down) gives way to the next one's beginning."""
     half = len(text) // 2

@@ -81,3 +81,45 @@ def test_small_tables_get_stuck_and_say_so():
 def test_repeated_paragraphs_are_told_apart():
     assert len(set(op.digests("same\nsame\nsame").tolist())) == 3
     assert op.likeness(op.digests("a\nb\nb"), op.digests("a\nb")) == pytest.approx(2 / 3)
+
+
+def test_a_change_in_a_long_line_leaves_its_other_blocks():
+    rng = np.random.default_rng(12)
+    line = "".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) + (", " if rng.random() < 0.2 else " ") for _ in range(600))
+    at = len(line) // 2
+    for changed in (line[:at] + "X" + line[at:], "X" + line, line[:at] + line[at + 1 :]):
+        assert 0.8 < op.likeness(op.digests(line), op.digests(changed)) < 1
+    for odd in (line, "x" * 5000, "a" * op.MOST + ". ", "a" * (op.BLOCK + 1), "\r" * 300, line[: op.BLOCK]):
+        assert "".join(op.paragraphs(odd)) == odd and max(map(len, op.paragraphs(odd))) <= op.MOST + 2
+
+
+def test_kept_fingerprints_are_compared_without_the_texts(spark):
+    first = "\n".join(f"paragraph {k}" for k in range(400))
+    second = first.replace("paragraph 7\n", "paragraph seven\n").replace("paragraph 300\n", "")
+    rows = op.fingerprints(spark.createDataFrame([(1, first), (2, second), (3, first)], "doc_id long, text string")).collect()
+    kept = {r.doc_id: r.fingerprint for r in rows}
+    left, right = op.compare(kept[1], kept[2])
+    assert set(left.tolist()) == set(op.digests(first).tolist()) - set(op.digests(second).tolist()) and len(left) == 2
+    assert set(right.tolist()) == set(op.digests(second).tolist()) - set(op.digests(first).tolist()) and len(right) == 1
+    assert [len(x) for x in op.compare(kept[1], kept[3])] == [0, 0]
+    assert op.compare(kept[1], op.Sketch.of(op.digests("\n".join(f"other {k}" for k in range(400)))).text()) is None
+
+
+def figures_by_hand(text):
+    """The edited half of a version by plain sets of numbered paragraphs, without any digest."""
+    seen, out = {}, set()
+    for line in text.split("\n"):
+        seen[line] = seen.get(line, 0) + 1
+        out.add((line, seen[line]))
+    return out
+
+
+def test_likeness_of_short_lines_against_plain_sets(spark):
+    rng = np.random.default_rng(13)
+    rows = [(k, "\n".join(f"line {x}" for x in rng.integers(0, 12, rng.integers(1, 30)))) for k in range(80)]
+    got = {r.doc_id: r for r in op.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        following = dict(rows)[k - 1 if k else 79]
+        half = len(text) // 2
+        a, b, c = map(figures_by_hand, (text, text[: len(text) - half] + following[:half], following))
+        assert got[k].near_edited == pytest.approx(len(a & b) / len(a | b)) and got[k].near_next == pytest.approx(len(a & c) / len(a | c))
