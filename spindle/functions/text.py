@@ -1,4 +1,4 @@
-"""Column functions over text, paths and names (T1 to T31, F17 to F25). No Python UDF."""
+"""Column functions over text, paths and names (T1 to T7, T9, T11, T14, T18 to T24, T29 to T31, F7, F15, F17 to F22, F24, J16, O9). No Python UDF."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Statistics of lengths, tensors, losses and texts."""
+"""Statistics of lengths, tensors, losses and texts."""
 
 from __future__ import annotations
 

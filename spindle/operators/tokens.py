@@ -1,4 +1,4 @@
-"""Pre-tokens, encoding, windows and the tokenizer gate.
+"""Pre-tokens, encoding, windows and the tokenizer gate.
 
 Vocabularies come as data: (token bytes, rank) tables or rank files. None is learned here.
 """
