@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog
+from ..session import work_dir
 from .registry import Book
 from .tables import LISTING, MIX_SQL, SHARDS, listing, mix, shards
 
@@ -138,9 +139,9 @@ WITH RECURSIVE {cut_sql(LATE_ROWS)}, last AS (SELECT max(merged_index) AS m FROM
 SELECT nr + m + 1 AS merged_index, printf('shard_%05d.bin', nr + m + 1) AS merged_shard, domain, bucket, shard, tokens FROM b JOIN k USING (domain, bucket), last""")
 def merge_plan_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the shards is merged already; the rest goes into new ones."""
-    s = shards(spark, sf_dir)
-    merged = catalog.merged_entries(catalog.merge_plan(s.where(F.pmod("pos", F.lit(3)) == 0), TARGET))
-    return catalog.incremental_plan(merged, s, TARGET).select("merged_index", "merged_shard", "domain", "bucket", "shard", "tokens")
+    s, place = shards(spark, sf_dir), work_dir(spark, "merged")
+    catalog.merged_entries(catalog.merge_plan(s.where(F.pmod("pos", F.lit(3)) == 0), TARGET)).write.parquet(place)  # the manifest of the merge before
+    return catalog.incremental_plan(spark.read.parquet(place), s, TARGET).select("merged_index", "merged_shard", "domain", "bucket", "shard", "tokens")
 
 
 MERGED = f"""(SELECT merged_shard AS shard, merged_index, domain, sum(tokens)::BIGINT AS tokens, sum(documents)::BIGINT AS documents, round(sum(tokens)::BIGINT * 2 / (1024 * 1024), 2) AS shard_mb, list(shard ORDER BY place) AS shards, list(source ORDER BY place) AS sources FROM {PLAN} GROUP BY ALL)"""
