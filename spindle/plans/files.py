@@ -212,17 +212,17 @@ def merge_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @book.query("""
-SELECT o_orderkey AS k, round_even(o_totalprice * 1.005::DOUBLE, 1) AS half_even, trunc(o_totalprice * 0.05::DOUBLE)::BIGINT AS cut, o_orderkey // 7 AS seventh,
+SELECT o_orderkey AS k, round_even(o_orderkey * 0.25::DOUBLE, 1) AS half_even, trunc(o_totalprice * 0.05::DOUBLE)::BIGINT AS cut, o_orderkey // 7 AS seventh,
  round(exp(o_orderkey % 10 / 10.0::DOUBLE) + ln(o_orderkey + 1) + sqrt(o_orderkey) + pow(o_orderkey % 10, 1.5::DOUBLE) + cos(o_orderkey % 10), 8) AS figures,
- printf('%.1f MB', o_orderkey * 12345 / 1e6::DOUBLE) AS size_text, len(list_distinct([o_orderkey % 3, o_orderkey % 2, 1])) AS distinct_n FROM orders""", longs=("distinct_n",))
+ printf('%.1f MB', o_orderkey * 125000 / 1e6::DOUBLE) AS size_text, len(list_distinct([o_orderkey % 3, o_orderkey % 2, 1])) AS distinct_n FROM orders""", longs=("distinct_n",))
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T10, T11, T12, T13, T25, T30"""
     k, p = F.col("o_orderkey"), F.col("o_totalprice").cast("double")
     tenth = F.pmod(k, F.lit(10)).cast("double")
     return table(spark, sf_dir, "orders").select(
-        k.alias("k"), F.bround(p * 1.005, 1).alias("half_even"), T.truncated(p * 0.05).alias("cut"), F.floor(k / 7).alias("seventh"),
+        k.alias("k"), F.bround(k * F.lit(0.25), 1).alias("half_even"), T.truncated(p * 0.05).alias("cut"), F.floor(k / 7).alias("seventh"),
         F.round(F.exp(tenth / 10) + F.log(k + 1) + F.sqrt(k) + F.pow(tenth, F.lit(1.5)) + F.cos(tenth), 8).alias("figures"),
-        F.replace(T.megabytes(k * 12345), F.lit(","), F.lit("")).alias("size_text"), F.size(F.array_distinct(F.array(F.pmod(k, F.lit(3)), F.pmod(k, F.lit(2)), F.lit(1)))).alias("distinct_n"),
+        F.replace(T.megabytes(k * 125000), F.lit(","), F.lit("")).alias("size_text"), F.size(F.array_distinct(F.array(F.pmod(k, F.lit(3)), F.pmod(k, F.lit(2)), F.lit(1)))).alias("distinct_n"),
     )
 
 
