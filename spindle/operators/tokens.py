@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,6 +82,13 @@ def encoder(vocabulary: str) -> Callable[[str], list[int]]:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces, so that the ids of few texts are in a worker's memory at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def encode(docs: DataFrame, vocabulary: str, shift: int = RESERVED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids): special tokens in the text are atomic, the end id follows each document.
 
@@ -91,13 +99,13 @@ def encode(docs: DataFrame, vocabulary: str, shift: int = RESERVED, key: str = "
         cut = re.compile("(" + "|".join(map(re.escape, SPECIALS)) + ")")
         special = {s: [i] for i, s in enumerate(SPECIALS)}
         plain = encoder(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t in batch["text"]:
                 ids: list[int] = []
                 for part in cut.split(t.as_py() or ""):
                     ids += special[part] if part in special else [r + shift for r in plain(part)]
-                out.append([*ids, 0])
+                out.append(np.array([*ids, 0], dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(out, pa.list_(pa.int32()))], [key, "ids"])
 
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -115,7 +123,7 @@ def decode(ids: DataFrame, vocabulary: str, shift: int = RESERVED, key: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {r + shift: t for t, r in rank_file(vocabulary).items()}
-        for batch in batches:
+        for batch in slices(batches):
             texts = [b"".join(tokens.get(i, b"") for i in x.as_py() or ()).decode(errors="replace") for x in batch["ids"]]
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(texts, pa.string())], [key, "text"])
 
