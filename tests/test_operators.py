@@ -463,6 +463,12 @@ def test_length_stats_of_many_parts(spark, many_parts):
     assert got == {g: (at(v, 0.5), at(v, 0.95), at(v, 0.99), v[-1]) for g, v in own.items()}
 
 
+def test_medians_of_many_parts(spark, many_parts):
+    df, own = drawn(spark, ["a", "b", "c"], 40_000, lambda rng: rng.expovariate(0.02))
+    got = {r.g: r.median for r in metrics.medians(df, "g", "v").collect()}
+    assert got == {g: v[len(v) // 2] for g, v in own.items()}
+
+
 def test_outlier_verdict(spark):
     """Three blocks: two with their greatest value early and in one channel, one late."""
     rows = [(f"block_{b:02d}", t, h, 1.0) for b in range(3) for t in range(140) for h in range(4)]
