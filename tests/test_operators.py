@@ -469,6 +469,14 @@ def test_medians_of_many_parts(spark, many_parts):
     assert got == {g: v[len(v) // 2] for g, v in own.items()}
 
 
+def test_tensor_stats_of_many_parts(spark, many_parts):
+    df, own = drawn(spark, ["a", "b", "c"], 40_000, lambda rng: rng.gauss(0, 0.125))
+    long = df.select(F.col("g").alias("name"), F.lit(0).alias("t"), F.lit(0).alias("h"), F.col("v").alias("x"))
+    got = {r.name: (r.numel, r.p99_abs, r.p999_abs) for r in metrics.tensor_stats(long).collect()}
+    own = {g: sorted(map(abs, v)) for g, v in own.items()}
+    assert got == {g: (len(v), pytest.approx(v[int(0.99 * len(v))], abs=1e-6), pytest.approx(v[int(0.999 * len(v))], abs=1e-6)) for g, v in own.items()}
+
+
 def test_outlier_verdict(spark):
     """Three blocks: two with their greatest value early and in one channel, one late."""
     rows = [(f"block_{b:02d}", t, h, 1.0) for b in range(3) for t in range(140) for h in range(4)]
