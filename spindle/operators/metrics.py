@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .budget import at_rank
+from .budget import at_rank, joined
 
 
 def length_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """p50, p95, p99, max and mean to one place."""
     ranks = at_rank(df, keys, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
     rest = df.groupBy(*keys).agg(F.max(value).alias("max"), F.round(F.avg(value), 1).alias("mean"))
-    return ranks.join(rest, keys)
+    return joined(ranks, rest, keys)
 
 
 def tensor_long(df: DataFrame, name: Column, values: str, row: Column) -> DataFrame:
@@ -26,7 +26,7 @@ def tensor_stats(long: DataFrame) -> DataFrame:
     a = F.abs("x")
     base = long.groupBy("name").agg(F.count("x").alias("numel"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), F.max(a).alias("max_abs"), F.avg(a).alias("mean_abs"))
     ranks = at_rank(long.withColumn("a", a), ["name"], "a", {"p99_abs": 0.99, "p999_abs": 0.999})
-    both = base.join(ranks, "name")
+    both = joined(base, ranks, ["name"])
     ratio = lambda c: F.when(F.col("rms") > 1e-12, F.round(F.col(c) / F.col("rms"), 4)).otherwise(F.lit(float("inf")))
     return both.select(
         "name", "numel", *[F.round(c, 6).alias(c) for c in ("rms", "max_abs", "mean_abs", "p99_abs", "p999_abs")],

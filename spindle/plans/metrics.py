@@ -26,7 +26,8 @@ def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tensor a label: a vector is a position, its places are channels."""
     e = table(spark, sf_dir, "embeddings")
-    return metrics.tensor_long(e, F.format_string("block_%02d.output", F.pmod("label", F.lit(4))), "embedding", F.col("vec_id"))
+    name = F.when(F.col("label").isNotNull(), F.format_string("block_%02d.output", F.pmod("label", F.lit(4))))
+    return metrics.tensor_long(e, name, "embedding", F.col("vec_id"))
 
 
 LONG = "(SELECT printf('block_%02d.output', label % 4) AS name, vec_id AS t, generate_subscripts(embedding, 1) - 1 AS h, unnest(embedding)::DOUBLE AS x FROM embeddings)"

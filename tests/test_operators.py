@@ -477,6 +477,29 @@ def test_tensor_stats_of_many_parts(spark, many_parts):
     assert got == {g: (len(v), pytest.approx(v[int(0.99 * len(v))], abs=1e-6), pytest.approx(v[int(0.999 * len(v))], abs=1e-6)) for g, v in own.items()}
 
 
+@pytest.fixture(params=["-1", "10m"])
+def sorted_and_broadcast(spark, request):
+    """Joins by sorting, and by broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_ranks_with_nulls(spark, sorted_and_broadcast):
+    """As the SQL has them: nulls count and come last, and a group's key may be null."""
+    df = spark.createDataFrame([("a", 1), ("a", None), ("a", 5), ("b", None), (None, 2), (None, 4), (None, 8), ("c", None), ("c", None), ("c", 3)], "g string, v long")
+    assert {r.g: r.median for r in metrics.medians(df, "g", "v").collect()} == {"a": 5, "b": None, None: 4, "c": None}
+    assert {r.g: (r.p50, r.p99, r.max, r["mean"]) for r in metrics.length_stats(df, ["g"], "v").collect()} == {"a": (5, None, 5, 3.0), "b": (None,) * 4, None: (4, 8, 8, 4.7), "c": (None, None, 3, 3.0)}
+    two = df.select(F.lit(1).alias("k"), "g", "v")
+    assert {(r.k, r.g): r.p for r in budget.at_rank(two, ["k", "g"], "v", {"p": 0.0}).collect()} == {(1, "a"): 1, (1, "b"): None, (1, None): 2, (1, "c"): 3}
+
+
+def test_tensor_without_name(spark):
+    df = spark.createDataFrame([(None, 0, h, float(h)) for h in range(1, 5)] + [("one", 0, 0, -2.0)], "name string, t int, h int, x double")
+    assert {r.name: (r.numel, r.p99_abs) for r in metrics.tensor_stats(df).collect()} == {None: (4, 4.0), "one": (1, 2.0)}
+
+
 def test_outlier_verdict(spark):
     """Three blocks: two with their greatest value early and in one channel, one late."""
     rows = [(f"block_{b:02d}", t, h, 1.0) for b in range(3) for t in range(140) for h in range(4)]

@@ -2,7 +2,7 @@ import pytest
 
 from spindle.plans import registry
 
-from .compare import same
+from .compare import connect, same
 
 SQL = registry.oracle_sql()
 
@@ -12,6 +12,19 @@ def test_same_rows_as_sql(spark, small, name):
     same(spark, registry.queries()[name], SQL[name], small)
 
 
+ODD = {
+    "documents": "SELECT doc_id, CASE WHEN doc_id % 13 > 0 THEN lang END AS lang, CASE WHEN doc_id % 5 > 0 AND lang <> 'fr' THEN n_chars END AS n_chars FROM documents",
+    "events": "SELECT event_id, CASE WHEN event_id % 11 > 0 THEN event_type END AS event_type, CASE WHEN event_id % 97 = 0 THEN 'nan'::DOUBLE WHEN event_id % 7 > 0 THEN value END AS value FROM events",
+    "embeddings": "SELECT vec_id, CASE WHEN vec_id % 17 > 0 THEN embedding END AS embedding, CASE WHEN vec_id % 11 > 0 THEN label END AS label FROM embeddings",
+}
+
+
+@pytest.mark.parametrize("name,source", [("length_stats", "documents"), ("medians", "events"), ("tensor_stats", "embeddings")])
+def test_same_rows_as_sql_with_nulls(spark, small, tmp_path, name, source):
+    connect(small).execute(f"COPY ({ODD[source]}) TO '{tmp_path}/{source}.parquet' (FORMAT parquet)")
+    same(spark, registry.queries()[name], SQL[name], str(tmp_path))
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
 def test_rows_of_queries_without_sql(spark, small, name):
     assert registry.queries()[name](spark, small).count() > 0
